@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, token_counts
+from . import encoding, mixing, simhash, token_counts
 from .common import read_table, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op7_mixing": op7_mixing}
 
 ORACLE_SQL: dict[str, str] = {}
