@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Entries of a worker's chunk and piece caches; a full cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Words with more symbols than this go straight to heap-based merging.
 LONG_WORD = 256
 #: Texts cut and looked up together.
@@ -329,48 +329,55 @@ class Codec:
         part = tok.normalizer.normalize_str(part) if tok.normalizer else part
         return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in tok.pre_tokenizer.pre_tokenize_str(part)]
 
-    def _plan(self, text: str) -> list:
-        """Units of a text, in order: a str is a chunk, bytes are a piece, an int is a special id."""
+    def _chunks(self, text: str) -> list[str] | None:
+        """Independent chunks of a text, or None if it needs cutting piece by piece."""
+        if UNSAFE.search(text) or (self.special_cut and "<|" in text):
+            return None
+        if self.words_only:
+            return text.lower().split()
+        if SPACE_RUN.search(text):
+            return None
+        cut = text.replace(" ", "\0 ").split("\0")
+        return cut if text[0] != " " else cut[1:]
+
+    def _pieces(self, text: str) -> list[bytes | int]:
+        """Pieces of a text in order; an int is a special token's id."""
         parts = self.special_cut.split(text) if self.special_cut and "<|" in text else [text]
-        out: list = []
+        out: list[bytes | int] = []
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(self.special[part])
             elif UNSAFE.search(part):
                 out += self._library_pieces(part)
-            elif self.words_only:
-                out += part.lower().split()
-            elif SPACE_RUN.search(part):
-                out += [p.encode() for p in self.cut.findall(part)]
-            elif part:
-                out += part.replace(" ", "\0 ").split("\0") if part[0] != " " else part.replace(" ", "\0 ").split("\0")[1:]
+            else:
+                out += [p.encode() for p in self.cut.findall(part.lower() if self.words_only else part)]
         return out
 
+    def _learn(self, wanted: set[bytes]) -> None:
+        """Sees to it that the piece cache holds the wanted pieces."""
+        new = list(wanted - self.pieces.keys())
+        if len(self.pieces) + len(new) > CACHE_ENTRIES:
+            self.pieces, new = {}, list(wanted)
+        self.pieces.update(zip(new, self.segment(new)))
+
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes; null is read as empty."""
-        plans = [self._plan(t) if t else [] for t in texts]
-        units = set().union(*plans)
-        new_chunks = [u for u in units if isinstance(u, str) and u not in self.chunks]
-        cut = {u: [p.encode() for p in self.cut.findall(u)] for u in new_chunks}
-        wanted = {u for u in units if isinstance(u, bytes)}.union(*cut.values())
-        new_pieces = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(new_pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-            new_pieces = list(wanted)
-        self.pieces.update(zip(new_pieces, self.segment(new_pieces)))
-        pieces = self.pieces
-        found = {u: b"".join([pieces[p] for p in ps]) for u, ps in cut.items()}
-        if len(self.chunks) + len(found) > CACHE_ENTRIES:
-            keep = [u for u in units if isinstance(u, str) and u in self.chunks]
-            found |= {u: self.chunks[u] for u in keep}
-            self.chunks = {}
-        self.chunks.update(found)
-        look: dict = self.chunks
-        if len(units) > len(wanted) or wanted:
-            other = {u: u.to_bytes(4, "little") if isinstance(u, int) else pieces[u] for u in units if not isinstance(u, str)}
-            if other:
-                return [b"".join([look[u] if isinstance(u, str) else other[u] for u in plan]) for plan in plans]
-        return [b"".join(map(look.__getitem__, plan)) for plan in plans]
+        texts = list(texts)
+        plans = [self._chunks(t) if t else [] for t in texts]
+        rare = {i: self._pieces(texts[i]) for i, plan in enumerate(plans) if plan is None}
+        units = set().union(*(plan for plan in plans if plan is not None))
+        new = units - self.chunks.keys()
+        if len(self.chunks) + len(new) > CACHE_ENTRIES:
+            self.chunks, new = {}, units
+        cut = {u: [p.encode() for p in self.cut.findall(u)] for u in new}
+        self._learn({p for ps in cut.values() for p in ps} | {p for ps in rare.values() for p in ps if type(p) is bytes})
+        piece = self.pieces.__getitem__
+        self.chunks.update({u: b"".join(map(piece, ps)) for u, ps in cut.items()})
+        chunk = self.chunks.__getitem__
+        out = [b"" if plan is None else b"".join(map(chunk, plan)) for plan in plans]
+        for i, ps in rare.items():
+            out[i] = b"".join([piece(p) if type(p) is bytes else p.to_bytes(4, "little") for p in ps])
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """Text of little-endian uint32 ids in UTF-8, as decode(ids, skip_special_tokens=False)."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, mixing, quality, simhash, token_counts
+from . import encoding, mixing, pii, quality, simhash, token_counts
 from .common import read_table, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,11 +27,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op7_mixing": op7_mixing}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_mixing": op7_mixing}
 
 ORACLE_SQL: dict[str, str] = {}
