@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, mixing, pii, quality, simhash, token_counts
-from .common import read_table, tokenizer_path
+from . import encoding, mixing, pii, quality, simhash, token_counts, token_shards
+from .common import read_table, shared_dir, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +21,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tracewright-{uuid.uuid4().hex}/token-shards"
+    token_shards.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), 2, path)
+    return token_shards.scan_documents(spark, path)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,6 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_mixing": op7_mixing}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_token_shards": op3_token_shards, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_mixing": op7_mixing}
 
 ORACLE_SQL: dict[str, str] = {}
