@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import encoding, mixing, pii, quality, simhash, token_counts, token_shards
-from .common import read_table, shared_dir, tokenizer_path
+from . import embeddings, encoding, mixing, pii, quality, simhash, token_counts, token_shards, warc
+from .common import Stage, read_table, shared_dir, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -44,6 +45,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_token_shards": op3_token_shards, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_mixing": op7_mixing}
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The drill's replica is damaged in every page whose id this divides.
+DRILL_EVERY = 97
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as a WARC set, damages a second replica as a drill, and audits one against the other:
+    every record with its size, digest and what the audit says of its copy."""
+    path = f"{shared_dir(spark)}/tracewright-{uuid.uuid4().hex}/warc"
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    one = warc.replica(spark, path)
+    two = Stage(warc.damage(one, DRILL_EVERY), "replica").read()
+    found = warc.audit(one, two).select("part", "seq", "record", "state")
+    records = warc.inventory(one).join(found, ["part", "seq", "record"], "left")
+    return records.select("page_id", "n_bytes", "record_sha256", "intact", F.coalesce("state", F.lit("same")).alias("copy"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_token_shards": op3_token_shards, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op9_embeddings": op9_embeddings, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
