@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, encoding, mixing, pii, quality, simhash, token_counts, token_shards, warc
+from . import embeddings, encoding, mixing, pii, quality, repeats, simhash, token_counts, token_shards, warc
 from .common import Stage, read_table, shared_dir, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +69,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "n_bytes", "record_sha256", "intact", F.coalesce("state", F.lit("same")).alias("copy"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_token_shards": op3_token_shards, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op9_embeddings": op9_embeddings, "op10_warc": op10_warc}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_token_shards": op3_token_shards, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_repeats": op8_repeats, "op9_embeddings": op9_embeddings, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
