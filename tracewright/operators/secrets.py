@@ -1,0 +1,134 @@
+"""Secret scanners: provider patterns, entropy, key blocks, checksums, word runs, configuration values."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import lines_of, shannon_entropy
+from .shapes import Rule, line_rules, spans
+
+# Published token formats of providers; ``hint`` is a literal of each.
+PROVIDERS = [
+    Rule("secret.aws", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b", "critical", "secret", "AWS access key", 798, hint="ia"),
+    Rule("secret.github", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "critical", "secret", "GitHub token", 798, hint="gh"),
+    Rule("secret.gitlab", r"\bglpat-[A-Za-z0-9_-]{20,}", "critical", "secret", "GitLab token", 798, hint="glpat-"),
+    Rule("secret.slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "high", "secret", "Slack token", 798, hint="xox"),
+    Rule("secret.slack_hook", r"hooks\.slack\.com/services/T[A-Z0-9]+/B[A-Z0-9]+/[A-Za-z0-9]+", "high", "secret", "Slack webhook", 798, hint="hooks.slack"),
+    Rule("secret.google", r"\bAIza[0-9A-Za-z_-]{35}", "high", "secret", "Google API key", 798, hint="aiza"),
+    Rule("secret.stripe", r"\b[sr]k_live_[0-9a-zA-Z]{24,}", "critical", "secret", "Stripe key", 798, hint="k_live_"),
+    Rule("secret.sendgrid", r"\bSG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", "high", "secret", "SendGrid key", 798, hint="sg."),
+    Rule("secret.twilio", r"\bSK[0-9a-f]{32}\b", "high", "secret", "Twilio key", 798, hint="sk"),
+    Rule("secret.npm", r"\bnpm_[A-Za-z0-9]{36}\b", "high", "secret", "npm token", 798, hint="npm_"),
+    Rule("secret.pypi", r"\bpypi-[A-Za-z0-9_-]{50,}", "high", "secret", "PyPI token", 798, hint="pypi-"),
+    Rule("secret.jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "medium", "secret", "JSON web token", 798, hint="eyj"),
+    Rule("secret.azure_storage", r"AccountKey=[A-Za-z0-9+/]{86}==", "critical", "secret", "Azure storage key", 798, hint="accountkey="),
+    Rule("secret.digitalocean", r"\bdop_v1_[a-f0-9]{64}\b", "critical", "secret", "DigitalOcean token", 798, hint="dop_v1_"),
+    Rule("secret.telegram", r"\b[0-9]{8,10}:AA[A-Za-z0-9_-]{33}\b", "high", "secret", "Telegram token", 798, hint=":aa"),
+    Rule("secret.url_password", r"[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@", "high", "secret", "Password in an address", 798, hint="://"),
+]
+PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]|xxxx|dummy|<[^>]+>)"
+VARIABLE = r"(\$\{?[A-Za-z_]|os\.environ|process\.env|getenv|\{\{|<%)"
+TOKEN = r"[A-Za-z0-9+/=_-]{32,}"
+LEAST_ENTROPY = 4.5
+
+
+def is_variable_reference(value: Column) -> Column:
+    return value.rlike(VARIABLE)
+
+
+def provider_secrets(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Provider tokens off placeholder lines; what is shown keeps four characters."""
+    found = line_rules(lines.filter(~F.col("line").rlike(PLACEHOLDER)), PROVIDERS)
+    shown = F.coalesce(*(F.when(F.col("check_id") == r.check_id, F.regexp_extract("line", r.pattern, 0)) for r in PROVIDERS))
+    return found.select(*keys, "line_num", "check_id", "severity", F.concat(F.substring(shown, 1, 4), F.lit("***")).alias("shown"))
+
+
+def high_entropy(lines: DataFrame, keys: list[str], pattern: str = TOKEN, least: float = LEAST_ENTROPY) -> DataFrame:
+    """Long tokens of high entropy that are neither hashes nor ids; once per line and first sixteen characters."""
+    cut = lines.select(*keys, "line_num", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("token"))
+    plain = F.col("token").rlike(r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") | F.col("token").rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-")
+    scored = cut.filter(~plain).withColumn("entropy", F.round(shannon_entropy(F.col("token")), 6)).filter(F.col("entropy") >= least)
+    return scored.groupBy(*keys, "line_num", F.substring("token", 1, 16).alias("head")).agg(F.min("token").alias("token"), F.min_by("entropy", "token").alias("entropy"))
+
+
+def pem_blocks(files: DataFrame) -> DataFrame:
+    """P10: (path, line_num, kind, severity) of key blocks; encrypted ones count less, too short ones are no keys."""
+    pattern = r"-----BEGIN ([A-Z ]*(?:PRIVATE KEY|CERTIFICATE))-----[\s\S]*?-----END \1-----"
+    found = spans(files.withColumnRenamed("content", "text"), ["path"], pattern)
+    kind = F.regexp_extract("span", r"-----BEGIN ([A-Z ]+)-----", 1)
+    body = F.regexp_replace(F.regexp_replace("span", r"-----[A-Z ]+-----", ""), r"\s", "")
+    sev = F.when(kind.contains("CERTIFICATE"), "info").when(kind.contains("ENCRYPTED") | F.col("span").contains("ENCRYPTED"), "medium").otherwise("critical")
+    return found.filter(F.length(body) >= 64).select("path", "line_num", kind.alias("kind"), sev.alias("severity"))
+
+
+def _base58_ok(raw: str) -> bool:
+    alphabet, n = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 0
+    for c in raw:
+        if c not in alphabet:
+            return False
+        n = n * 58 + alphabet.index(c)
+    data = b"\0" * (len(raw) - len(raw.lstrip("1"))) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return len(data) > 4 and hashlib.sha256(hashlib.sha256(data[:-4]).digest()).digest()[:4] == data[-4:]
+
+
+@F.pandas_udf("boolean")
+def base58check(raw: pd.Series) -> pd.Series:
+    """Whether a text is base58 with a right double SHA-256 checksum."""
+    return raw.map(lambda s: bool(s) and _base58_ok(s)).astype(bool)
+
+
+def _der_bits(hex_text: str) -> int:
+    """Bits of the first integer of a DER sequence, or 0."""
+    try:
+        raw, at = bytes.fromhex(hex_text), 0
+
+        def head(at: int) -> tuple[int, int, int]:
+            tag, size, at = raw[at], raw[at + 1], at + 2
+            if size & 0x80:
+                n = size & 0x7F
+                size, at = int.from_bytes(raw[at : at + n], "big"), at + n
+            return tag, size, at
+
+        tag, _, at = head(at)
+        tag2, size, at = head(at)
+        return int.from_bytes(raw[at : at + size], "big").bit_length() if (tag, tag2) == (0x30, 0x02) else 0
+    except (ValueError, IndexError, TypeError):
+        return 0
+
+
+@F.pandas_udf("int")
+def der_modulus_bits(hex_text: pd.Series) -> pd.Series:
+    """Key size of a DER-encoded public key (sequence of modulus and exponent) in hex."""
+    return hex_text.map(_der_bits).astype("int32")
+
+
+def wallet_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Wallet import keys with a right checksum, and extended private keys and Ethereum keys by form and context."""
+    seen = lines.select(*keys, "line_num", "line", F.explode(F.regexp_extract_all("line", F.lit(r"\b[5KL][1-9A-HJ-NP-Za-km-z]{50,51}\b"), F.lit(0))).alias("token"))
+    wif = seen.filter(base58check("token")).select(*keys, "line_num", F.lit("wallet.wif").alias("check_id"))
+    line = F.col("line")
+    xprv = lines.filter(line.rlike(r"\b[xyz]prv[1-9A-HJ-NP-Za-km-z]{107,108}\b")).select(*keys, "line_num", F.lit("wallet.extended_key").alias("check_id"))
+    eth = lines.filter(line.rlike(r"(?i)(private|priv|eth|wallet)\w*.{0,20}(0x)?[0-9a-f]{64}\b")).select(*keys, "line_num", F.lit("wallet.ethereum").alias("check_id"))
+    return wif.unionByName(xprv).unionByName(eth)
+
+
+def word_runs(lines: DataFrame, keys: list[str], words: list[str], sizes: tuple[int, ...] = (12, 15, 18, 21, 24)) -> DataFrame:
+    """Runs of consecutive list words of a phrase's sizes, by gaps and islands: (keys, line_num, run_length)."""
+    cut = lines.select(*keys, "line_num", F.posexplode(F.split(F.lower("line"), r"[^a-z]+")).alias("pos", "word")).filter("word <> ''")
+    w = Window.partitionBy(*keys, "line_num").orderBy("pos")
+    listed = cut.withColumn("rank", F.row_number().over(w)).filter(F.col("word").isin(words))
+    islands = listed.withColumn("island", F.col("rank") - F.row_number().over(Window.partitionBy(*keys, "line_num").orderBy("rank")))
+    runs = islands.groupBy(*keys, "line_num", "island").agg(F.count(F.lit(1)).alias("run_length"))
+    return runs.filter(F.col("run_length").isin(*sizes)).drop("island")
+
+
+def config_values(files: DataFrame) -> DataFrame:
+    """(path, line_num, key, value) of JSON, YAML and .env lines whose key names a secret and whose value is one."""
+    p = r"^\s*(?:export\s+)?[\"']?([A-Za-z0-9_.-]*(?:key|token|secret|passw(?:or)?d|credential)[A-Za-z0-9_.-]*)[\"']?\s*[:=]\s*[\"']?([^\"'\s,#]{6,})"
+    lines = lines_of(files.filter(F.col("path").rlike(r"(?i)\.(json|ya?ml|env|toml|ini)$|(^|/)\.env")), "path", text="content")
+    found = lines.select("path", "line_num", F.regexp_extract(F.col("line"), "(?i)" + p, 1).alias("key"), F.regexp_extract(F.col("line"), "(?i)" + p, 2).alias("value"))
+    return found.filter((F.col("key") != "") & ~is_variable_reference(F.col("value")) & ~F.col("value").rlike(PLACEHOLDER))
