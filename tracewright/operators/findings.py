@@ -18,7 +18,7 @@ CHECKS = "array<struct<id:string,result:string,weight:double,reason:string>>"
 def suppress(findings: DataFrame, rules: DataFrame, order: list[str]) -> DataFrame:
     """FLT8: findings that no rule (rule_ord, title_pattern, path_pattern) silences. Each finding falls to its first
     matching rule; a rule silences its first SUPPRESSION_QUOTA findings in ``order``. Rules are a small table."""
-    hit = F.col("title").rlike(F.col("title_pattern")) & F.col("path").rlike(F.col("path_pattern"))
+    hit = F.rlike("title", F.col("title_pattern")) & F.rlike("path", F.col("path_pattern"))
     matched = findings.join(rules, hit).groupBy("id").agg(F.min("rule_ord").alias("rule_ord"))
     placed = findings.join(matched, "id", "left")
     rank = F.row_number().over(Window.partitionBy("rule_ord").orderBy(*order))

@@ -1,4 +1,6 @@
 """The registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import relations, scans, streams
+
+QUERIES = {**scans.QUERIES, **relations.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**scans.ORACLE_SQL, **relations.ORACLE_SQL, **streams.ORACLE_SQL}
