@@ -19,6 +19,7 @@ own normaliser and pre-tokenizer instead.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -27,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Entries of a worker's chunk and piece caches; a full cache starts anew.
+#: Entries of a worker's chunk and piece caches, beside those of the batch in hand. A full one starts anew.
 CACHE_ENTRIES = 800_000
 #: Words with more symbols than this go straight to heap-based merging.
 LONG_WORD = 256
@@ -353,6 +354,13 @@ class Codec:
                 out += [p.encode() for p in self.cut.findall(part.lower() if self.words_only else part)]
         return out
 
+    def _cut_chunk(self, chunk: str) -> list[bytes]:
+        """Pieces of a chunk. Letters, with or without a space before and full stops or commas behind, need no pattern."""
+        word = chunk.rstrip(".,")
+        if (word[1:] if word[:1] == " " else word).isalpha():
+            return [word.encode()] if len(word) == len(chunk) else [word.encode(), chunk[len(word) :].encode()]
+        return [p.encode() for p in self.cut.findall(chunk)]
+
     def _learn(self, wanted: set[bytes]) -> None:
         """Sees to it that the piece cache holds the wanted pieces."""
         new = list(wanted - self.pieces.keys())
@@ -368,11 +376,12 @@ class Codec:
         units = set().union(*(plan for plan in plans if plan is not None))
         new = units - self.chunks.keys()
         if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks, new = {}, units
-        cut = {u: [p.encode() for p in self.cut.findall(u)] for u in new}
+            # What this batch shares with earlier ones is what comes often.
+            self.chunks = {u: self.chunks[u] for u in units - new}
+        cut = {u: self._cut_chunk(u) for u in new}
         self._learn({p for ps in cut.values() for p in ps} | {p for ps in rare.values() for p in ps if type(p) is bytes})
         piece = self.pieces.__getitem__
-        self.chunks.update({u: b"".join(map(piece, ps)) for u, ps in cut.items()})
+        self.chunks.update({u: piece(ps[0]) if len(ps) == 1 else b"".join(map(piece, ps)) for u, ps in cut.items()})
         chunk = self.chunks.__getitem__
         out = [b"" if plan is None else b"".join(map(chunk, plan)) for plan in plans]
         for i, ps in rare.items():
@@ -414,7 +423,15 @@ def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 def encode_all(c: Codec, texts: list[str | None]) -> Iterator[bytes]:
     for run in blocks(texts):
-        yield from c.encode_batch(run)
+        # A batch makes many short-lived lists beside large caches; collections in between would only walk the caches.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            made = c.encode_batch(run)
+        finally:
+            if collecting:
+                gc.enable()
+        yield from made
 
 
 def sha256_hex(data: bytes) -> str:
