@@ -112,6 +112,10 @@ def placed_snippet(line: Column, most: int = 200) -> Column:
 
 def redact_secrets(line: Column) -> Column:
     """Quoted literals (not dictionary keys), what an assignment assigns, and an open quote's tail are masked; twice is as once."""
-    masked = F.regexp_replace(line, r"""(["'])(?!\*\*\*)[^"']+\1(?!\s*:)""", "$1***$1")
+    quoted = lambda q: rf"{q}(?!\*\*\*{q})[^{q}]*+{q}(?!\s*:)"
+    keys = r"(?:\"[^\"]*\"|'[^']*')\s*:"
+    # A key is stepped over as a whole, so that what stands between two literals is not taken for one.
+    masked = F.regexp_replace(line, rf"({keys})|{quoted(chr(34))}|{quoted(chr(39))}", "$1\0")
+    masked = F.regexp_replace(F.regexp_replace(masked, r"(:)\x00", "$1"), r"\x00", "\"***\"")
     masked = F.regexp_replace(masked, r"""((?:key|token|secret|passwd|password|pwd)\s*[:=]\s*)(?!["']?\*\*\*)[^\s"'#,;]+""", "$1***")
     return F.regexp_replace(masked, r"""([:=]\s*["'])(?!\*\*\*)[^"']+$""", "$1***")

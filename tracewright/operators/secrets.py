@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import lines_of, shannon_entropy
 from .shapes import Rule, line_rules, spans
@@ -75,7 +76,7 @@ def _base58_ok(raw: str) -> bool:
     return len(data) > 4 and hashlib.sha256(hashlib.sha256(data[:-4]).digest()).digest()[:4] == data[-4:]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def base58check(raw: pd.Series) -> pd.Series:
     """Whether a text is base58 with a right double SHA-256 checksum."""
     return raw.map(lambda s: bool(s) and _base58_ok(s)).astype(bool)
@@ -100,7 +101,7 @@ def _der_bits(hex_text: str) -> int:
         return 0
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def der_modulus_bits(hex_text: pd.Series) -> pd.Series:
     """Key size of a DER-encoded public key (sequence of modulus and exponent) in hex."""
     return hex_text.map(_der_bits).astype("int32")
