@@ -40,11 +40,11 @@ from .common import Stage, shuffle_width, whole_text
 
 WINDOW = 400
 GRAM = 32
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Different fragments of an anchor that one shard compares.
 FRAGMENTS_A_SHARD = 2048
 #: Windows that a task sorts together, but for an anchor's own.
-WINDOWS_AT_ONCE = 1 << 21
+WINDOWS_AT_ONCE = 1 << 18
 
 _POSITION = np.uint64((1 << 24) - 1)
 _TABLES = np.random.default_rng(20240607).integers(0, 1 << 63, (2, 256), np.uint64, endpoint=False) * np.uint64(2) + np.uint64(1)
@@ -60,21 +60,22 @@ def _join(left: np.ndarray, right: np.ndarray, factor: np.uint64) -> np.ndarray:
     return x
 
 
-def doubled(data: np.ndarray, which: int, longest: int) -> dict[int, np.ndarray]:
-    """Hashes of all substrings of the lengths 1, 2, 4, ..., longest."""
-    out = {1: _TABLES[which][data]}
-    size = 1
-    while size < longest:
-        h = out[size]
-        out[2 * size] = _join(h[:-size], h[size:], _FACTORS[which])
+def doubled(data: np.ndarray, which: int, wanted: list[int]) -> list[np.ndarray]:
+    """Hashes of all substrings of the wanted lengths, powers of two in rising order."""
+    h, size, out = _TABLES[which][data], 1, []
+    while True:
+        if size in wanted:
+            out.append(h)
+        if size >= wanted[-1]:
+            return out
+        h = _join(h[:-size], h[size:], _FACTORS[which])
         size *= 2
-    return out
 
 
 def fragments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of bytes: per fragment the first window's start, the number of windows, the anchor's position and its hash."""
     n = len(data) - WINDOW + 1
-    gram = doubled(data, 0, GRAM)[GRAM]
+    (gram,) = doubled(data, 0, [GRAM])
     least = (gram & ~_POSITION) | np.arange(len(gram), dtype=np.uint64)
     wide, size = WINDOW - GRAM + 1, 1
     while 2 * size <= wide:
@@ -115,9 +116,9 @@ def window_digests(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every window of the bytes."""
     out = []
     for which in (0, 1):
-        h, f = doubled(data, which, 256), _FACTORS[which]
+        (h16, h128, h256), f = doubled(data, which, [16, 128, 256]), _FACTORS[which]
         n = len(data) - WINDOW + 1
-        out.append(_join(_join(h[256][:n], h[128][256 : 256 + n], f), h[16][384 : 384 + n], f))
+        out.append(_join(_join(h256[:n], h128[256 : 256 + n], f), h16[384 : 384 + n], f))
     return out[0], out[1]
 
 
