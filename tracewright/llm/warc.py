@@ -4,15 +4,16 @@ Web pages become WARC/1.1 response records, laid end to end in page_id order in
 segments: a segment is a run of records of about SEGMENT_BYTES, a row of a
 Parquet table whose ``body`` is the segment's raw bytes, with the ordered offset
 ranges of its records beside it. Over a segment stands a hash tree: a leaf is the
-SHA-256 of a record with its range, an inner node the SHA-256 of up to FANOUT
-children in order, and the roots of segments are the leaves of the tree of a part
-and those of the whole set.
+SHA-256 of a record's range and the SHA-256 of its bytes, an inner node the
+SHA-256 of up to FANOUT children in order, and the roots of segments are the
+leaves of the tree of a part and those of the whole set.
 
-An audit compares two replicas, such as two copies in two stores. Each reads its
-bytes once and keeps a root per segment; only segments whose roots differ are
-read again, and in them the trees are descended side by side, so that records
-under equal branches are neither listed nor compared. What is found are records:
-``changed`` (other bytes under the same range order), ``missing`` or ``added``.
+An audit compares two replicas, such as two copies in two stores. Each is hashed
+once where it lies, into a table of trees about a hundredth of its size; pages
+never travel. Roots are joined first; the trees of segments whose roots differ are
+then descended side by side, so that records under equal branches are neither
+listed nor compared. What is found are records: ``changed`` (other bytes in the
+same place of the order), ``missing`` or ``added``.
 
 Null url and html are empty; a null page_id sorts first and names a record
 ``null``. Repeated pages are records of their own. Pages of any size are whole
@@ -77,10 +78,15 @@ def tree(leaves: list[bytes]) -> list[list[bytes]]:
     return levels
 
 
-def leaves(offsets: list[int], body: bytes) -> list[bytes]:
-    """A leaf per record: its range of offsets and its bytes."""
+def digests(offsets: list[int], body: bytes) -> list[bytes]:
+    """SHA-256 of every record."""
     view = memoryview(body)
-    return [hashlib.sha256(a.to_bytes(8, "little") + b.to_bytes(8, "little") + view[a:b]).digest() for a, b in zip(offsets, offsets[1:])]
+    return [hashlib.sha256(view[a:b]).digest() for a, b in zip(offsets, offsets[1:])]
+
+
+def leaves(offsets: list[int], records: list[bytes]) -> list[bytes]:
+    """A leaf per record: its range of offsets and its digest."""
+    return [hashlib.sha256(a.to_bytes(8, "little") + b.to_bytes(8, "little") + d).digest() for a, b, d in zip(offsets, offsets[1:], records)]
 
 
 def differing(a: list[list[bytes]], b: list[list[bytes]]) -> list[int]:
@@ -129,16 +135,20 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[row].as_py() for c in batch.columns)
 
 
-def segment_roots(segments: DataFrame) -> DataFrame:
-    """(part, seq, root, n_records, n_bytes) of every segment of a replica; its bytes are read once."""
+TREE_SCHEMA = "part int, seq int, root binary, page_ids array<bigint>, offsets array<bigint>, records array<binary>"
+
+
+def trees(segments: DataFrame) -> DataFrame:
+    """Per segment of a replica its root, and what its tree is made of: ranges and record digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
         for part, seq, ids, offsets, body in _rows(batches):
-            top = tree(leaves(offsets, body))[-1][0]
-            arrays = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([top], pa.binary()), pa.array([len(ids)], pa.int64()), pa.array([len(body)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "root", "n_records", "n_bytes"])
+            records = digests(offsets, body)
+            row = (part, seq, tree(leaves(offsets, records))[-1][0], ids, offsets, records)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seq", "root", "page_ids", "offsets", "records"])
 
-    return segments.mapInArrow(run, "part int, seq int, root binary, n_records long, n_bytes long")
+    return segments.mapInArrow(run, TREE_SCHEMA)
 
 
 def set_root(roots: DataFrame) -> str:
@@ -148,31 +158,30 @@ def set_root(roots: DataFrame) -> str:
     return tree([bytes.fromhex(r.root) for r in parts])[-1][0].hex()
 
 
-def audit(one: DataFrame, two: DataFrame, roots_one: DataFrame | None = None, roots_two: DataFrame | None = None) -> DataFrame:
-    """Records in which replica two differs from replica one: (page_id, part, seq, record, state).
+def audit(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Records in which replica two differs from replica one, from their :func:`trees` (written tables, as each is read
+    twice): (page_id, part, seq, record, state).
 
-    Segment roots are compared first; of both replicas only segments with differing
-    roots are read again, and their trees are descended. A segment whose records
-    no longer have one shape in both is compared record by record.
+    A segment that holds other numbers of records in the two is compared record by record.
     """
-    a = (segment_roots(one) if roots_one is None else roots_one).select("part", "seq", F.col("root").alias("root_one"))
-    b = (segment_roots(two) if roots_two is None else roots_two).select("part", "seq", F.col("root").alias("root_two"))
-    odd = a.join(b, ["part", "seq"], "full").filter(~F.col("root_one").eqNullSafe(F.col("root_two"))).select("part", "seq")
-    mine = one.join(odd, ["part", "seq"], "left_semi").select("part", "seq", *(F.col(c).alias(f"a_{c}") for c in COLUMNS[2:]))
-    theirs = two.join(odd, ["part", "seq"], "left_semi").select("part", "seq", *(F.col(c).alias(f"b_{c}") for c in COLUMNS[2:]))
+    key = ["part", "seq"]
+    a, b = one.select(*key, F.col("root").alias("root_one")), two.select(*key, F.col("root").alias("root_two"))
+    odd = a.join(b, key, "full").filter(~F.col("root_one").eqNullSafe(F.col("root_two"))).select(*key)
+    of = lambda df, p: df.select(*key, *(F.col(c).alias(f"{p}_{c}") for c in ("page_ids", "offsets", "records")))
+    met = odd.join(of(one, "a"), key, "left").join(of(two, "b"), key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, seq, a_ids, a_offsets, a_body, b_ids, b_offsets, b_body in _rows(batches):
+        for part, seq, a_ids, a_offsets, a_records, b_ids, b_offsets, b_records in _rows(batches):
             found: list[tuple[int | None, int, str]] = []
             if a_ids is None or b_ids is None:
                 found = [(p, i, "missing" if b_ids is None else "added") for i, p in enumerate(a_ids or b_ids or [])]
             elif len(a_ids) == len(b_ids):
-                # Offsets may have moved behind a record of another length: leaves then hold the bytes alone.
-                where = lambda o: o if a_offsets == b_offsets else None  # noqa: B023, E731
-                trees = [tree(leaves(o, body) if where(o) else [hashlib.sha256(body[x:y]).digest() for x, y in zip(o, o[1:])]) for o, body in ((a_offsets, a_body), (b_offsets, b_body))]
-                found = [(a_ids[i], i, "changed") for i in differing(*trees)]
+                # Behind a record of another length all ranges have moved: leaves are then the records alone.
+                moved = a_offsets != b_offsets
+                sides = [tree(r if moved else leaves(o, r)) for o, r in ((a_offsets, a_records), (b_offsets, b_records))]
+                found = [(a_ids[i], i, "changed") for i in differing(*sides)]
             else:
-                mine, theirs = ({(p, hashlib.sha256(body[x:y]).digest()): i for i, (p, x, y) in enumerate(zip(ids, o, o[1:]))} for ids, o, body in ((a_ids, a_offsets, a_body), (b_ids, b_offsets, b_body)))
+                mine, theirs = ({(p, d): i for i, (p, d) in enumerate(zip(ids, records))} for ids, records in ((a_ids, a_records), (b_ids, b_records)))
                 left, right = {k[0] for k in mine}, {k[0] for k in theirs}
                 found = [(k[0], i, "changed" if k[0] in right else "missing") for k, i in mine.items() if k not in theirs]
                 found += [(k[0], i, "added") for k, i in theirs.items() if k not in mine and k[0] not in left]
@@ -181,7 +190,7 @@ def audit(one: DataFrame, two: DataFrame, roots_one: DataFrame | None = None, ro
                 names=["page_id", "part", "seq", "record", "state"],
             )
 
-    return mine.join(theirs, ["part", "seq"], "full").mapInArrow(run, "page_id long, part int, seq int, record long, state string")
+    return met.mapInArrow(run, "page_id long, part int, seq int, record long, state string")
 
 
 def damage(segments: DataFrame, page_every: int) -> DataFrame:
