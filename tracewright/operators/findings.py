@@ -176,11 +176,11 @@ def compliance_mode(findings: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, order: list, offset: int, size: int) -> DataFrame:
-    """A page with total, has_more and next_offset."""
-    numbered = df.withColumns({"total": F.count(F.lit(1)).over(Window.partitionBy()), "rn": F.row_number().over(Window.orderBy(*order))})
-    some = numbered.filter(F.col("rn").between(offset + 1, offset + size))
+    """A page with total, has_more and next_offset. The page is a top-k; the total is one counted row."""
+    top = df.orderBy(*order).limit(offset + size).withColumn("rn", F.row_number().over(Window.orderBy(*order))).filter(F.col("rn") > offset)
+    total = df.agg(F.count(F.lit(1)).alias("total"))
     more = F.col("total") > offset + size
-    return some.withColumns({"has_more": more, "next_offset": F.when(more, F.lit(offset + size))})
+    return top.crossJoin(F.broadcast(total)).withColumns({"has_more": more, "next_offset": F.when(more, F.lit(offset + size))})
 
 
 def filtered(df: DataFrame, **wanted) -> DataFrame:

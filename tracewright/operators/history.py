@@ -84,9 +84,16 @@ def remediation_confidence(start: Column, statuses: Column) -> Column:
     return F.aggregate(statuses, start, step)
 
 
-def numbered(df: DataFrame, order: list, prefix: str = "REF") -> DataFrame:
-    """Dense numbers in order, and their human form."""
-    out = df.withColumn("ref_number", F.row_number().over(Window.orderBy(*order)))
+def numbered(df: DataFrame, order: list[str], prefix: str = "REF", parts: int | None = None) -> DataFrame:
+    """Dense numbers in a total order, and their human form. Ranges of the order are numbered side by side; only a
+    count per range meets in one task."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id())
+    sizes = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("part_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    out = dealt.withColumn("rn_", F.row_number().over(Window.partitionBy("part_").orderBy(*order))).join(sizes, "part_")
+    out = out.withColumn("ref_number", F.col("before_") + F.col("rn_")).drop("part_", "rn_", "before_")
     return out.withColumn("ref", reference_number(F.col("ref_number"), prefix))
 
 

@@ -98,6 +98,21 @@ def similar_edges(memories: DataFrame, least: float = 0.75, most: int = 3, block
     return found.withColumn("rn", rank).filter(F.col("rn") <= most).drop("rn")
 
 
+def similar_sets(df: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """Pairs (a, b, jaccard) of rows whose distinct ``items`` overlap by ``least`` or more. With items in the order of
+    rarity, two such sets share one among the first n - ceil(least * n) + 1 of each, so only those are joined, and
+    frequent items meet nobody."""
+    each = df.select(key, F.explode(items).alias("item"))
+    counts = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(counts, "item").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
+    sets = ranked.select(key, F.transform("s", lambda x: x["item"]).alias("s")).withColumn("n", F.size("s"))
+    heads = sets.select(key, F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("item"))
+    met = heads.select(F.col(key).alias("a"), "item").join(heads.select(F.col(key).alias("b"), "item"), "item").filter("a < b").select("a", "b").distinct()
+    met = met.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
 def related(edges: DataFrame, memories: DataFrame, of: object) -> DataFrame:
     """What an edge links with one memory, either way where the edge goes both ways."""
     out = edges.filter(F.col("source_id") == of).select(F.col("target_id").alias("id"), "relation_type", "strength")

@@ -117,7 +117,7 @@ def audit_compare_full_outer(spark, sf_dir):
     return history.compare(o.filter("y % 2 = 0"), o.filter("y % 2 = 1"))
 
 
-_SEEN = "seen AS (SELECT DISTINCT event_type AS agent_type, user_id::VARCHAR AS fingerprint, (day(ts) - 1) // 5 AS run FROM events WHERE user_id < 500)"
+_SEEN = "seen AS (SELECT DISTINCT event_type AS agent_type, user_id::VARCHAR AS fingerprint, (day(ts) - 1) // 5 AS run FROM events)"
 
 
 @query(f"""WITH {_SEEN}, f AS (SELECT agent_type, fingerprint, min(run) AS first_run FROM seen GROUP BY ALL), g AS (SELECT f.agent_type, f.fingerprint, r.run FROM f JOIN (SELECT DISTINCT agent_type, run FROM seen) r ON r.agent_type = f.agent_type AND r.run >= first_run),
@@ -125,7 +125,7 @@ _SEEN = "seen AS (SELECT DISTINCT event_type AS agent_type, user_id::VARCHAR AS
   SELECT agent_type, fingerprint, run::INT AS run, CASE WHEN was IS NULL THEN 'detected' WHEN now AND NOT was THEN 'regression' ELSE 'fixed' END AS event FROM l WHERE was IS NULL OR now <> was""")
 def lineage_regressions(spark, sf_dir):
     """ST13: detected, fixed and regression events over six runs of five days."""
-    seen = table(spark, sf_dir, "events").filter("user_id < 500").select(F.col("event_type").alias("agent_type"), F.col("user_id").cast("string").alias("fingerprint"), F.expr("cast((day(ts) - 1) div 5 AS int)").alias("run")).distinct()
+    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("agent_type"), F.col("user_id").cast("string").alias("fingerprint"), F.expr("cast((day(ts) - 1) div 5 AS int)").alias("run")).distinct()
     return history.lineage_of(seen, seen.select("agent_type", "run"))
 
 
@@ -145,10 +145,10 @@ def lineage_fixed(spark, sf_dir):
     return history.fixed_now(old, e.filter("d > 20")).select(F.col("fingerprint").cast("long").alias("user_id"), F.col("agent_type").alias("event_type"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey)::INT AS ref_number, 'REF-' || lpad(row_number() OVER (ORDER BY o_orderdate, o_orderkey)::VARCHAR, greatest(4, length(row_number() OVER (ORDER BY o_orderdate, o_orderkey)::VARCHAR))::INT, '0') AS ref FROM orders WHERE o_custkey < 200")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ref_number, 'REF-' || lpad(row_number() OVER (ORDER BY o_orderdate, o_orderkey)::VARCHAR, greatest(4, length(row_number() OVER (ORDER BY o_orderdate, o_orderkey)::VARCHAR))::INT, '0') AS ref FROM orders")
 def ref_numbers(spark, sf_dir):
-    """Dense reference numbers of some customers' orders."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 200")
+    """Dense reference numbers of orders."""
+    o = table(spark, sf_dir, "orders")
     return history.numbered(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "ref_number", "ref")
 
 
@@ -199,11 +199,11 @@ def status_counts(spark, sf_dir):
     return taxonomy.status_counts(table(spark, sf_dir, "events"), "event_type")
 
 
-_BRIDGE = "bridge AS (SELECT r_name AS category_id, n_nationkey AS weakness FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey < 20)"
+_BRIDGE = "bridge AS (SELECT r_name AS category_id, n_nationkey AS weakness FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'EUROPE')"
 
 
 def _bridge(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation").filter("n_nationkey < 20"), table(spark, sf_dir, "region")
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").filter("r_name <> 'EUROPE'")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("category_id"), F.col("n_nationkey").alias("weakness"))
 
 
@@ -213,11 +213,11 @@ def owasp_map_fanout(spark, sf_dir):
     return taxonomy.fan_out(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("weakness")), _bridge(spark, sf_dir)).select("p_partkey", "category_id", "weakness")
 
 
-@query(f"""WITH {_BRIDGE}, d AS (SELECT DISTINCT p_size % 25 AS weakness FROM part WHERE p_partkey <= 12)
+@query(f"""WITH {_BRIDGE}, d AS (SELECT DISTINCT p_size % 25 AS weakness FROM part WHERE p_size > 40)
   SELECT category_id, count(DISTINCT weakness) AS mapped_count, coalesce(list(DISTINCT weakness ORDER BY weakness) FILTER (weakness IN (SELECT weakness FROM d)), []) AS found, CASE WHEN bool_or(weakness IN (SELECT weakness FROM d)) THEN 'findings' ELSE 'clean' END AS status FROM bridge GROUP BY category_id""")
 def coverage_manifest(spark, sf_dir):
     """A10: what each category holds and what of it was found."""
-    return taxonomy.coverage(_bridge(spark, sf_dir), table(spark, sf_dir, "part").filter("p_partkey <= 12").select((F.col("p_size") % 25).alias("weakness")))
+    return taxonomy.coverage(_bridge(spark, sf_dir), table(spark, sf_dir, "part").filter("p_size > 40").select((F.col("p_size") % 25).alias("weakness")))
 
 
 @query(f"WITH {_BRIDGE} SELECT DISTINCT p_size % 25 AS weakness FROM part WHERE p_size % 25 NOT IN (SELECT weakness FROM bridge)")
@@ -254,14 +254,14 @@ def similar_edges(spark, sf_dir):
     return memory.similar_edges(_memories(spark, sf_dir), 0.3).withColumn("strength", F.round("strength", 9))
 
 
-@query(f"""WITH v AS (SELECT a.vec_id AS id, {_COS} AS score FROM embeddings a, (SELECT {_QUERY_VECTOR}::DOUBLE[] AS embedding) b ORDER BY score DESC, id LIMIT 60), t AS (SELECT doc_id AS id, (length(text) - length(replace(text, 'the', ''))) / 3.0::DOUBLE AS score FROM documents WHERE doc_id < 500 ORDER BY score DESC, id LIMIT 60),
+@query(f"""WITH v AS (SELECT a.vec_id AS id, {_COS} AS score FROM embeddings a, (SELECT {_QUERY_VECTOR}::DOUBLE[] AS embedding) b ORDER BY score DESC, id LIMIT 60), t AS (SELECT doc_id AS id, (length(text) - length(replace(text, 'the', ''))) / 3.0::DOUBLE AS score FROM documents ORDER BY score DESC, id LIMIT 60),
   vn AS (SELECT id, score / (SELECT max(score) FROM v) AS v FROM v), tn AS (SELECT id, score / (SELECT max(score) FROM t) AS t FROM t)
   SELECT id, round(0.7 * coalesce(v, 0) + 0.3 * coalesce(t, 0), 9) AS score FROM vn FULL JOIN tn USING (id)""")
 def hybrid_fusion(spark, sf_dir):
     """V6: the best sixty by vector and by text, fused (lists are cut before fusion, as asked)."""
     v = memory.vector_topk(_memories(spark, sf_dir), _QUERY_VECTOR, 60).withColumnRenamed("similarity", "score")
     n = (F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))) / F.lit(3.0)
-    t = table(spark, sf_dir, "documents").filter("doc_id < 500").select(F.col("doc_id").alias("id"), n.alias("score")).orderBy(F.desc("score"), "id").limit(60)
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("score")).orderBy(F.desc("score"), "id").limit(60)
     return memory.hybrid_fusion(v, t).select("id", F.round("score", 9).alias("score"))
 
 
@@ -274,12 +274,14 @@ def temporal_decay_rank(spark, sf_dir):
     return e.select("event_id", F.round(confidence_boost(temporal_decay(F.col("ts"), F.lit(AS_OF).cast("date")), F.col("event_id") % 100 / 100), 9).alias("score"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT vec_id AS u, vec_id + 7 AS v FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id + 7 < 500), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, cluster) AS (SELECT u, u FROM b UNION SELECT b.v, r.cluster FROM r JOIN b ON b.u = r.id)
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 7 AND b.label > a.label), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, cluster) AS (SELECT u, u FROM b UNION SELECT b.v, r.cluster FROM r JOIN b ON b.u = r.id)
   SELECT id, min(cluster) AS cluster FROM r GROUP BY id""")
 def edge_components(spark, sf_dir):
-    """Clusters of chained memories."""
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 3 <> 0 AND vec_id + 7 < 500")
-    return memory.clusters(e.select(F.col("vec_id").alias("source_id"), (F.col("vec_id") + 7).alias("target_id"), F.lit(0.9).alias("strength")))
+    """Clusters of chained memories, linked where the label rises."""
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 7).alias("vec_id"), F.col("vec_id").alias("target_id"), F.col("label").alias("other"))
+    met = e.join(b, "vec_id")
+    return memory.clusters(met.select(F.col("vec_id").alias("source_id"), "target_id", F.when(F.col("other") > F.col("label"), 0.9).otherwise(0.5).alias("strength")))
 
 
 @query()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaccard, tokens
+from ..functions.similarity import tokens
 from ..functions.text import keywords, memory_title, redact_secrets, rollup_title, severity
-from ..operators import detectors, secrets, shapes, surface
+from ..operators import detectors, memory, secrets, shapes, surface
 from ..operators.findings import downgrade_in_tests
 from ..sources import files as sources
 from .tables import LINES_SQL, files, lines, table
@@ -205,13 +205,11 @@ def title_normalize(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT item_id, list_distinct(list_filter(list_transform(string_split_regex(lower(text), '[ \t\r\n]+'), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda w: length(w) >= 2)) AS w FROM benchmark)
-  SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id AND b.item_id <= a.item_id + 5""")
+  SELECT a, b, round(j, 9) AS jaccard FROM (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS j FROM t a JOIN t b ON a.item_id < b.item_id) WHERE j >= 0.15""")
 def jaccard_pairs(spark, sf_dir):
-    """Token overlap of each benchmark item with the five after it."""
+    """Benchmark items whose tokens overlap by 0.15 or more."""
     t = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("w"))
-    b = t.select(F.col("item_id").alias("b"), F.col("w").alias("bw"))
-    near = t.select(F.col("item_id").alias("a"), "w", F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 5)).alias("b")).join(b, "b")
-    return near.select("a", "b", F.round(jaccard(F.col("w"), F.col("bw")), 9).alias("jaccard"))
+    return memory.similar_sets(t, "item_id", "w", 0.15).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, unnest(list_concat(list_transform(regexp_extract_all(html, 'href=["'']([^"''#]+)', 1), lambda v: ['href', v]), list_transform(regexp_extract_all(html, 'src=["'']([^"''#]+)', 1), lambda v: ['src', v]))) AS a FROM pages),
