@@ -339,7 +339,7 @@ def snapshot_rescue(spark, sf_dir):
     return history.rescue_deltas(e.filter("event_type = 'purchase'"), e.filter("event_type <> 'purchase'")).select("event_id", "run_id")
 
 
-@query("""WITH r AS (SELECT user_id, epoch(ts)::BIGINT // 3600 AS s, epoch(ts)::BIGINT // 3600 + event_id % 24 AS e FROM events), h AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM r),
+@query("""WITH r AS (SELECT user_id, floor(epoch(ts))::BIGINT // 3600 AS s, floor(epoch(ts))::BIGINT // 3600 + event_id % 24 AS e FROM events), h AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM r),
   i AS (SELECT *, sum(CASE WHEN high IS NULL OR s > high THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM h) SELECT user_id, min(s) AS start, max(e) AS "end" FROM i GROUP BY user_id, island""")
 def range_merge_islands(spark, sf_dir):
     """Overlapping ranges of a user merged."""
