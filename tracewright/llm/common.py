@@ -51,6 +51,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/tracewright-{uuid.uuid4().hex}/{name}"
+
+
+def _parent(spark: SparkSession, path: str):
+    """The folder above a path, and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a scratch table removed when the driver ends; lazily read results need it until then."""
+    folder, system = _parent(spark, path)
+    system.deleteOnExit(folder)
+
+
 class Stage:
     """A table written to the shared folder and read again: lineage is cut there,
     a lost executor costs only the tasks that read it, and Python work above it
@@ -58,21 +75,17 @@ class Stage:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tracewright-{uuid.uuid4().hex}/{name}"
+        self.path = scratch_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
+        forget_at_exit(self.spark, self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path).getParent()
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    return Stage(df, name).read()
+        folder, system = _parent(self.spark, self.path)
+        system.delete(folder, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

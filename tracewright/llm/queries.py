@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, encoding, mixing, pii, quality, repeats, simhash, token_counts, token_shards, warc
-from .common import Stage, read_table, shared_dir, tokenizer_path
+from .common import Stage, forget_at_exit, read_table, scratch_path, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -23,8 +21,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tracewright-{uuid.uuid4().hex}/token-shards"
+    path = scratch_path(spark, "token-shards")
     token_shards.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), 2, path)
+    forget_at_exit(spark, path)
     return token_shards.scan_documents(spark, path)
 
 
@@ -60,8 +59,9 @@ DRILL_EVERY = 97
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as a WARC set, damages a second replica as a drill, and audits one against the other:
     every record with its size, digest and what the audit says of its copy."""
-    path = f"{shared_dir(spark)}/tracewright-{uuid.uuid4().hex}/warc"
+    path = scratch_path(spark, "warc")
     warc.write(read_table(spark, sf_dir, "pages"), path)
+    forget_at_exit(spark, path)
     one = warc.replica(spark, path)
     two = Stage(warc.damage(one, DRILL_EVERY), "replica").read()
     trees = [Stage(warc.trees(r), "trees").read() for r in (one, two)]
