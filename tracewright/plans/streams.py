@@ -29,8 +29,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(streaming.EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    """A folder for a stream's progress, in the shared folder of the session where one is set."""
+def _place(spark: SparkSession) -> str:
+    """A folder for a stream's rows and progress, in the shared folder of the session where one is set."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.sparkContext.master.startswith("local["):
@@ -39,8 +39,8 @@ def _checkpoint(spark: SparkSession) -> str:
     return f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    return streaming.run_to_table(stream, "t" + uuid.uuid4().hex, _checkpoint(spark), mode)
+def _run(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    return streaming.run_to_files(stream, _place(spark), mode, keys)
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -78,4 +78,4 @@ def stream_loop_detector(spark, sf_dir):
 @query("SELECT user_id, count(*) AS n, min(event_id) FILTER (event_type = 'error' AND ts = t) AS first_error, arg_max(value, event_id) AS last_value FROM (SELECT *, min(ts) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS t FROM events) GROUP BY user_id")
 def stream_drain(spark, sf_dir):
     """ST3: first error and last value of a user."""
-    return _run(spark, streaming.drain(_stream(spark, sf_dir)), "update")
+    return _run(spark, streaming.drain(_stream(spark, sf_dir)), "update", ["user_id"])

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 #: Event kinds that have a meaning; others are dropped.
@@ -92,8 +93,23 @@ def drain(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, n long, first_error long, last_value double", "n long, error long, last double, last_at long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and gives its table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_files(stream: DataFrame, place: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what there is, into Parquet under ``place``, and reads the result: nothing passes through the
+    driver. In complete mode the last batch's rows count, in update mode the last row of each of ``keys``."""
+    spark, path = stream.sparkSession, f"{place}/rows"
+    schema = stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("batch", LongType())])
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:
+        # A batch that is run again overwrites what it wrote before.
+        out = out.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}"))
+    out.start().awaitTermination()
+    made = spark.read.schema(schema).parquet(path)
+    if mode == "append":
+        return made
+    if mode == "complete":
+        last = made.agg(F.max("batch").alias("last"))
+        return made.join(F.broadcast(last), F.col("batch") == F.col("last"), "left_semi").drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return made.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*").select(*stream.columns)
