@@ -116,9 +116,10 @@ class Codec:
                 return None
             return out[:-1] + [out[-1] + 256] if last else out
 
+        spelled = {i: symbols(token) for token, i in vocab.items()}
         self.token_bytes = [b""] * self.size
         for token, i in vocab.items():
-            s = symbols(token)
+            s = spelled[i]
             self.token_bytes[i] = token.encode() if s is None else bytes(x & 255 for x in s) + (b" " if self.suffix and s[-1] > 255 else b"")
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
@@ -138,8 +139,7 @@ class Codec:
         self.pair_rank = dict(zip(pair_keys, pair_ranks))
 
         self.base = np.full(512, -1, np.int64)
-        for token, i in vocab.items():
-            s = symbols(token)
+        for i, s in spelled.items():
             if s is not None and len(s) == 1:
                 self.base[s[0]] = i
         if (self.base[: 512 if self.suffix else 256] < 0).any():
@@ -149,12 +149,12 @@ class Codec:
         made = np.flatnonzero(self.rank >= 0)
         made = made[np.argsort(self.rank[made], kind="stable")]
         fits = self.compatible(self.left[made], self.right[made], self.rank[made])
-        for z, ok in zip(made.tolist(), fits.tolist()):
-            own[z] = ok and own[self.left[z]] and own[self.right[z]]
+        for z, ok, x, y in zip(made.tolist(), fits.tolist(), self.left[made].tolist(), self.right[made].tolist()):
+            own[z] = ok and own[x] and own[y]
         child: dict[int, int] = {}
         ends = [-1]
-        for token, i in vocab.items():
-            s = symbols(token)
+        own = own.tolist()
+        for i, s in spelled.items():
             if s is None or not own[i]:
                 continue
             state = 0
