@@ -6,7 +6,7 @@ those of its language: character classes, and common function words. The
 references are the summed histograms of all documents of the language that pass
 the rules; the measure is the Jensen-Shannon distance (square root of the
 divergence, base 2, from 0 to 1). A histogram of few words is mostly noise, so
-each comparison has a least length below which it says nothing.
+the distance that a document may have grows as it gets shorter.
 
 Null and empty texts have no words and fail the rules. A null language is a
 language of its own. Repeated rows are judged alike; an empty table gives no rows.
@@ -26,13 +26,10 @@ WINDOW_WORDS = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 
-#: Least words for a comparison of character classes, and of common words.
-LEAST_WORDS_CLASSES = 100
-LEAST_WORDS_COMMON = 200
-#: A document further from its language than this is rejected. Set on labelled documents:
-#: good ones of the least length stay below, with a margin of about a fifth.
-MOST_CLASS_DISTANCE = 0.25
-MOST_COMMON_DISTANCE = 0.23
+#: (least words, limit), longest first: a document further from its language than the limit of its length
+#: is rejected. Set on labelled documents: of good ones of each length about 1 % or fewer lie beyond.
+MOST_CLASS_DISTANCE = [(60, 0.25), (LEAST_WORDS, 0.32)]
+MOST_COMMON_DISTANCE = [(150, 0.23), (100, 0.26), (80, 0.28), (60, 0.30), (40, 0.32), (LEAST_WORDS, 0.38)]
 
 # Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = [
@@ -124,6 +121,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when(some, F.sqrt(F.greatest(F.lit(0.0), total(both)))).otherwise(0.0)
 
 
+def limit(by_length: list[tuple[int, float]]) -> Column:
+    """The limit for a document of n_words; 1, which no distance exceeds, below the last length."""
+    return F.coalesce(*(F.when(F.col("n_words") >= n, F.lit(most)) for n, most in by_length), F.lit(1.0))
+
+
 def judge(df: DataFrame) -> DataFrame:
     """Per row of ``df``: doc_id, the counts, base_failed, kept, class_distance, common_distance, text_key."""
     found = Stage(features(df), "features").read()
@@ -132,10 +134,7 @@ def judge(df: DataFrame) -> DataFrame:
     met = found.join(refs, found.lang.eqNullSafe(refs.ref_lang), "left")
     far = lambda name: F.coalesce(js_distance(F.col(name), F.col(f"ref_{name}")), F.lit(0.0))
     met = met.withColumn("class_distance", far("classes")).withColumn("common_distance", far("commons"))
-    n = F.col("n_words")
-    odd = ((n >= LEAST_WORDS_CLASSES) & (F.col("class_distance") > MOST_CLASS_DISTANCE)) | (
-        (n >= LEAST_WORDS_COMMON) & (F.col("common_distance") > MOST_COMMON_DISTANCE)
-    )
+    odd = (F.col("class_distance") > limit(MOST_CLASS_DISTANCE)) | (F.col("common_distance") > limit(MOST_COMMON_DISTANCE))
     return met.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "common_distance", "text_key"
     )
