@@ -30,6 +30,24 @@ PROVIDERS = [
     Rule("secret.digitalocean", r"\bdop_v1_[a-f0-9]{64}\b", "critical", "secret", "DigitalOcean token", 798, hint="dop_v1_"),
     Rule("secret.telegram", r"\b[0-9]{8,10}:AA[A-Za-z0-9_-]{33}\b", "high", "secret", "Telegram token", 798, hint=":aa"),
     Rule("secret.url_password", r"[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@", "high", "secret", "Password in an address", 798, hint="://"),
+    Rule("secret.aws_secret", r"(?i)aws[^\n]{0,60}['\"][A-Za-z0-9/+=]{40}['\"]", "critical", "secret", "AWS secret access key", 798, hint="aws"),
+    Rule("secret.stripe_test", r"\b[sr]k_test_[0-9a-zA-Z]{24,}", "medium", "secret", "Stripe test key", 798, hint="k_test_"),
+    Rule("secret.stripe_public", r"\bpk_(live|test)_[0-9a-zA-Z]{24,}", "low", "secret", "Stripe publishable key", 798, hint="pk_"),
+    Rule("secret.google_oauth_secret", r"\bGOCSPX-[0-9A-Za-z_-]{28}", "critical", "secret", "Google OAuth client secret", 798, hint="gocspx-"),
+    Rule("secret.google_oauth_token", r"\bya29\.[0-9A-Za-z_-]{20,}", "high", "secret", "Google OAuth access token", 798, hint="ya29."),
+    Rule("secret.twilio_account", r"\bAC[0-9a-f]{32}\b", "medium", "secret", "Twilio account", 798, hint="ac"),
+    Rule("secret.mailgun", r"\bkey-[0-9a-f]{32}\b", "high", "secret", "Mailgun key", 798, hint="key-"),
+    Rule("secret.datadog", r"(?i)\bdd_(api|app)_key\s*[=:]\s*['\"][0-9a-f]{32}['\"]", "high", "secret", "Datadog key", 798, hint="dd_a"),
+    Rule("secret.heroku", r"(?i)heroku[\s_.-]*(api[\s_.-]*)?key\s*[=:]\s*['\"][0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}['\"]", "high", "secret", "Heroku key", 798, hint="heroku"),
+    Rule("secret.discord", r"\b[NMO][A-Za-z0-9_-]{23}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,38}\b", "critical", "secret", "Discord bot token", 798, hint="."),
+    Rule("secret.discord_hook", r"\bhttps://discord\.com/api/webhooks/[0-9]{17,19}/[A-Za-z0-9_-]{60,80}", "high", "secret", "Discord webhook", 798, hint="discord.com/api"),
+    Rule("secret.cloudflare", r"(?i)cloudflare[\s_.-]*(api|global)?[\s_.-]*key\s*[=:]\s*['\"][0-9a-f]{37}['\"]", "critical", "secret", "Cloudflare key", 798, hint="cloudflare"),
+    Rule("secret.square", r"\bsq0(atp|csp)-[0-9A-Za-z_-]{22,43}", "critical", "secret", "Square token", 798, hint="sq0"),
+    Rule("secret.linear", r"\blin_api_[A-Za-z0-9]{40}\b", "high", "secret", "Linear key", 798, hint="lin_api_"),
+    Rule("secret.notion", r"\bsecret_[A-Za-z0-9]{43}\b", "high", "secret", "Notion token", 798, hint="secret_"),
+    Rule("secret.anthropic", r"\bsk-ant-(api|admin)[0-9]{2}-[A-Za-z0-9_-]{86,108}", "critical", "secret", "Anthropic key", 798, hint="sk-ant-"),
+    Rule("secret.openai", r"\bsk-(proj-[A-Za-z0-9_-]{60,200}|[A-Za-z0-9]{48}\b)", "critical", "secret", "OpenAI key", 798, hint="sk-"),
+    Rule("secret.huggingface", r"\bhf_[A-Za-z0-9]{34}\b", "high", "secret", "Hugging Face token", 798, hint="hf_"),
 ]
 PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]|xxxx|dummy|<[^>]+>)"
 VARIABLE = r"(\$\{?[A-Za-z_]|os\.environ|process\.env|getenv|\{\{|<%)"
@@ -117,6 +135,13 @@ def wallet_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
     return wif.unionByName(xprv).unionByName(eth)
 
 
+def solana_keypairs(files: DataFrame) -> DataFrame:
+    """(path, line_num, check_id, severity) of arrays of 64 bytes, as key files hold them; an array may go over lines."""
+    found = spans(files.withColumnRenamed("content", "text"), ["path"], r"\[\s*(?:\d{1,3}\s*,\s*){63}\d{1,3}\s*\]")
+    numbers = F.transform(F.regexp_extract_all("span", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    return found.filter(F.array_max(numbers) <= 255).select("path", "line_num", F.lit("wallet.solana").alias("check_id"), F.lit("critical").alias("severity"))
+
+
 def word_runs(lines: DataFrame, keys: list[str], words: list[str], sizes: tuple[int, ...] = (12, 15, 18, 21, 24)) -> DataFrame:
     """Runs of consecutive list words of a phrase's sizes, by gaps and islands: (keys, line_num, run_length)."""
     cut = lines.select(*keys, "line_num", F.posexplode(F.split(F.lower("line"), r"[^a-z]+")).alias("pos", "word")).filter("word <> ''")
