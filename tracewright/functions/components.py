@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .stages import Stage
 
 
 def _mark(edges: DataFrame) -> tuple:

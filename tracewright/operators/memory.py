@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.components import components
 from ..functions.similarity import confidence_boost, dot, norm, relation_type, temporal_decay
+from ..functions.stages import Stage
 from ..functions.text import SORT_RANK, lookup, text
 
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.7, 0.3
@@ -125,25 +127,16 @@ def relations(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("relation_type", relation_type(F.col("a_type"), F.col("b_type"), F.col("a_category"), F.col("b_category")))
 
 
-def clusters(edges: DataFrame, least: float = 0.75, most_rounds: int = 60) -> DataFrame:
+def clusters(edges: DataFrame, least: float = 0.75) -> DataFrame:
     """(id, cluster) over edges of ``least`` strength or more, cluster being the least id of the component.
 
-    Labels are lowered along edges and then along labels, so rounds grow with the logarithm of a component's width;
-    only a count of changes comes to the driver.
+    Components are found by alternating star rounds until no edge changes, however long a chain is. Null ends link nothing.
     """
-    e = edges.filter(F.col("strength") >= least).select(F.col("source_id").alias("u"), F.col("target_id").alias("v"))
-    both = e.union(e.select("v", "u")).distinct().persist()
-    labels = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("label"))
-    for _ in range(most_rounds):
-        labels = labels.persist()
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        lowered = labels.join(near, "u").select("u", F.least("label", "near").alias("label"))
-        jumped = lowered.alias("a").join(lowered.alias("b"), F.col("a.label") == F.col("b.u"), "left").select(F.col("a.u").alias("u"), F.least("a.label", F.coalesce("b.label", "a.label")).alias("label"))
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "u").filter("label <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            break
-    return labels.select(F.col("u").alias("id"), F.col("label").alias("cluster"))
+    e = edges.filter(F.col("strength") >= least).select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    e = Stage(e.distinct(), "edges").read()
+    ids = e.select(F.col("u").alias("id")).union(e.select(F.col("v").alias("id"))).distinct()
+    roots = components(e)
+    return ids.join(roots, ids.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
 def mmr(candidates: DataFrame, keys: list[str], k: int, weight: float = MMR_LAMBDA) -> DataFrame:
