@@ -158,11 +158,40 @@ def set_root(roots: DataFrame) -> str:
     return tree([bytes.fromhex(r.root) for r in parts])[-1][0].hex()
 
 
+def unmatched(a_ids: list[int | None], a_records: list[bytes], b_ids: list[int | None], b_records: list[bytes]) -> list[tuple[int | None, int, str]]:
+    """(page_id, record, state) of records without an equal one in the other segment, as multisets: each record of a
+    page is matched with one of its digest. Of what is left of a page, as many as both sides have are changed; the
+    others are missing (by their place in the first) or added (by their place in the second)."""
+    theirs: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(b_ids, b_records)):
+        theirs.setdefault(key, []).append(i)
+    for same in theirs.values():
+        same.reverse()
+    lost = [i for i, key in enumerate(zip(a_ids, a_records)) if not (theirs.get(key) and theirs[key].pop() is not None)]
+    new = sorted(i for same in theirs.values() for i in same)
+    left: dict[int | None, int] = {}
+    for i in new:
+        left[b_ids[i]] = left.get(b_ids[i], 0) + 1
+    found, taken = [], {}
+    for i in lost:
+        page = a_ids[i]
+        changed = taken.get(page, 0) < left.get(page, 0)
+        taken[page] = taken.get(page, 0) + changed
+        found.append((page, i, "changed" if changed else "missing"))
+    for i in new:
+        page = b_ids[i]
+        if taken.get(page, 0):
+            taken[page] -= 1
+        else:
+            found.append((page, i, "added"))
+    return found
+
+
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     """Records in which replica two differs from replica one, from their :func:`trees` (written tables, as each is read
     twice): (page_id, part, seq, record, state).
 
-    A segment that holds other numbers of records in the two is compared record by record.
+    A segment that holds other numbers of records in the two is compared record by record, repeated ones by their number.
     """
     key = ["part", "seq"]
     a, b = one.select(*key, F.col("root").alias("root_one")), two.select(*key, F.col("root").alias("root_two"))
@@ -181,10 +210,7 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
                 sides = [tree(r if moved else leaves(o, r)) for o, r in ((a_offsets, a_records), (b_offsets, b_records))]
                 found = [(a_ids[i], i, "changed") for i in differing(*sides)]
             else:
-                mine, theirs = ({(p, d): i for i, (p, d) in enumerate(zip(ids, records))} for ids, records in ((a_ids, a_records), (b_ids, b_records)))
-                left, right = {k[0] for k in mine}, {k[0] for k in theirs}
-                found = [(k[0], i, "changed" if k[0] in right else "missing") for k, i in mine.items() if k not in theirs]
-                found += [(k[0], i, "added") for k, i in theirs.items() if k not in mine and k[0] not in left]
+                found = unmatched(a_ids, a_records, b_ids, b_records)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.int64()), pa.array([part] * len(found), pa.int32()), pa.array([seq] * len(found), pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string())],
                 names=["page_id", "part", "seq", "record", "state"],
