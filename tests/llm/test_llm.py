@@ -18,7 +18,7 @@ from tracewright.llm import embeddings, encoding, mixing, pii, quality, repeats,
 from tracewright.llm.bpe import Codec, encode_all
 from tracewright.llm.common import DOC_COLUMNS
 from tracewright.llm.components import components
-from tracewright.llm.perfect_hash import PerfectHash
+from tracewright.llm.perfect_hash import PerfectHash, probe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE, LOWER = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -82,6 +82,9 @@ def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 60, 5000, replace=False).astype(np.uint64)
     made = PerfectHash.from_bytes(PerfectHash.build(keys).to_bytes())
     assert sorted(made.find(keys).tolist()) == list(range(5000))
+    raw = PerfectHash.build(keys).to_bytes()
+    assert [probe(raw, int(k)) for k in keys[:700]] == made.find(keys[:700]).tolist()
+    assert sum(probe(raw, (1 << 61) + i) >= 0 for i in range(300)) <= 1
     other = np.arange(100, dtype=np.uint64) + np.uint64(1 << 61)
     assert (made.find(other) >= 0).sum() <= 1
     assert PerfectHash.build(keys[:0]).find(keys[:3]).tolist() == [-1, -1, -1]
@@ -98,6 +101,10 @@ def test_token_shards(spark, tmp_path):
         at += len(ids)
     found = token_shards.lookup(spark, str(tmp_path / "s"), [3, 5, 77]).collect()
     assert sorted((r.doc_id, len(r.ids)) for r in found) == [(3, 1), (5, 3), (5, 3)]
+    assert sorted(len(r.ids) for r in token_shards.lookup(spark, str(tmp_path / "s"), [None]).collect()) == [1, 2]
+    assert token_shards.lookup(spark, str(tmp_path / "s"), [4, 8]).count() == 0 == token_shards.lookup(spark, str(tmp_path / "s"), []).count()
+    plan = token_shards.lookup(spark, str(tmp_path / "s"), [3, 5])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(high,3)" in plan and "LessThanOrEqual(low,5)" in plan
 
 
 def brute_fingerprint(text):
