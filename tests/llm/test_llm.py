@@ -339,7 +339,17 @@ def test_warc(spark, tmp_path):
     lost = one.filter("NOT (part = 1 AND seq = 0)")
     gone = warc.audit(warc.trees(one), warc.trees(lost)).collect()
     assert {r.state for r in gone} == {"missing"} and len(gone) == len(one.filter("part = 1 AND seq = 0").first().page_ids)
-    assert warc.set_root(warc.trees(one)) != warc.set_root(warc.trees(two))
+    roots = lambda r: warc.part_roots(warc.trees(r))
+    assert warc.set_root(roots(one)) != warc.set_root(roots(two)) and warc.set_root(roots(one)) == warc.set_root(roots(one))
+    # Only the part and the segment with the one changed record differ.
+    hurt = warc.damage(one, 263)
+    a, b = ({r.part: r.root for r in roots(x).collect()} for x in (one, hurt.filter("true")))
+    assert sorted(r.page_id for r in warc.audit(warc.trees(one), warc.trees(hurt)).collect()) == [0, 263] and sum(a[k] != b[k] for k in a) == 2
+    nothing = spark.createDataFrame([], df.schema)
+    warc.write(nothing, str(tmp_path / "none"))
+    empty = warc.replica(spark, str(tmp_path / "none"))
+    assert warc.audit(warc.trees(empty), warc.trees(empty)).count() == 0 and warc.inventory(empty).count() == 0
+    assert {r.state for r in warc.audit(warc.trees(empty), warc.trees(one)).collect()} == {"added"}
     leaves = [hashlib.sha256(bytes([i % 251, i // 251])).digest() for i in range(400)]
     other = [*leaves[:37], b"x" * 32, *leaves[38:]]
     assert warc.differing(warc.tree(leaves), warc.tree(other)) == [37] and warc.tree([])

@@ -10,10 +10,12 @@ leaves of the tree of a part and those of the whole set.
 
 An audit compares two replicas, such as two copies in two stores. Each is hashed
 once where it lies, into a table of trees about a hundredth of its size; pages
-never travel. Roots are joined first; the trees of segments whose roots differ are
-then descended side by side, so that records under equal branches are neither
-listed nor compared. What is found are records: ``changed`` (other bytes in the
-same place of the order), ``missing`` or ``added``.
+never travel. The roots of the two sets are compared first, and nothing more is read
+if they agree; then the roots of parts, the roots of the segments of parts that
+differ, and the stored levels of the segments that differ, from their roots down,
+so that records under equal branches are neither listed nor compared. What is found
+are records: ``changed`` (other bytes in the same place of the order), ``missing``
+or ``added``.
 
 Null url and html are empty; a null page_id sorts first and names a record
 ``null``. Repeated pages are records of their own. Pages of any size are whole
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import Stage, shuffle_width
 
 SEGMENT_BYTES = 4 << 20
 FANOUT = 16
@@ -135,27 +137,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[row].as_py() for c in batch.columns)
 
 
-TREE_SCHEMA = "part int, seq int, root binary, page_ids array<bigint>, offsets array<bigint>, records array<binary>"
+TREE_SCHEMA = "part int, seq int, root binary, page_ids array<bigint>, offsets array<bigint>, records array<binary>, levels array<array<binary>>"
 
 
 def trees(segments: DataFrame) -> DataFrame:
-    """Per segment of a replica its root, and what its tree is made of: ranges and record digests."""
+    """Per segment of a replica its root, what its tree is made of (ranges and record digests), and the tree's levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.binary()))]
         for part, seq, ids, offsets, body in _rows(batches):
             records = digests(offsets, body)
-            row = (part, seq, tree(leaves(offsets, records))[-1][0], ids, offsets, records)
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seq", "root", "page_ids", "offsets", "records"])
+            levels = tree(leaves(offsets, records))
+            row = (part, seq, levels[-1][0], ids, offsets, records, levels)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seq", "root", "page_ids", "offsets", "records", "levels"])
 
     return segments.mapInArrow(run, TREE_SCHEMA)
 
 
-def set_root(roots: DataFrame) -> str:
-    """Hex root of a whole set: segment roots are hashed per part, part roots at the driver (a row per part)."""
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.hex("root").alias("r")))), lambda x: x["r"]), "")
-    parts = roots.groupBy("part").agg(F.sha2(ordered, 256).alias("root")).orderBy("part").collect()
-    return tree([bytes.fromhex(r.root) for r in parts])[-1][0].hex()
+def part_roots(roots: DataFrame) -> DataFrame:
+    """(part, root): the root over a part's segments, from their roots alone; a group holds a part's segments, not its records."""
+    ordered = F.sort_array(F.collect_list(F.struct("seq", F.hex("root").alias("r"))))
+    placed = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["seq"].cast("string"), x["r"])), ",")
+    return roots.groupBy("part").agg(F.sha2(placed, 256).alias("root"))
+
+
+def set_root(parts: DataFrame) -> str:
+    """Hex root of a whole set from its :func:`part_roots` (a row per part comes to the driver)."""
+    found = parts.orderBy("part").collect()
+    return tree([hashlib.sha256(f"{r.part}:{r.root}".encode()).digest() for r in found])[-1][0].hex()
 
 
 def unmatched(a_ids: list[int | None], a_records: list[bytes], b_ids: list[int | None], b_records: list[bytes]) -> list[tuple[int | None, int, str]]:
@@ -189,26 +198,36 @@ def unmatched(a_ids: list[int | None], a_records: list[bytes], b_ids: list[int |
 
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     """Records in which replica two differs from replica one, from their :func:`trees` (written tables, as each is read
-    twice): (page_id, part, seq, record, state).
+    more than once): (page_id, part, seq, record, state).
 
     A segment that holds other numbers of records in the two is compared record by record, repeated ones by their number.
     """
+    spark, schema = one.sparkSession, "page_id long, part int, seq int, record long, state string"
+    parts = [Stage(part_roots(t.select("part", "seq", "root")), "part-roots").read() for t in (one, two)]
+    if set_root(parts[0]) == set_root(parts[1]):
+        return spark.createDataFrame([], schema)
     key = ["part", "seq"]
-    a, b = one.select(*key, F.col("root").alias("root_one")), two.select(*key, F.col("root").alias("root_two"))
-    odd = a.join(b, key, "full").filter(~F.col("root_one").eqNullSafe(F.col("root_two"))).select(*key)
-    of = lambda df, p: df.select(*key, *(F.col(c).alias(f"{p}_{c}") for c in ("page_ids", "offsets", "records")))
+    unlike = ~F.col("root_one").eqNullSafe(F.col("root_two"))
+
+    def differs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        a, b = left.select(*on, F.col("root").alias("root_one")), right.select(*on, F.col("root").alias("root_two"))
+        return a.join(b, on, "full").filter(unlike).select(*on)
+
+    odd_parts = Stage(differs(*parts, ["part"]), "odd-parts").read()
+    odd = Stage(differs(one.join(odd_parts, "part", "left_semi"), two.join(odd_parts, "part", "left_semi"), key), "odd-segments").read()
+    of = lambda df, p: df.select(*key, *(F.col(c).alias(f"{p}_{c}") for c in ("page_ids", "offsets", "records", "levels")))
     met = odd.join(of(one, "a"), key, "left").join(of(two, "b"), key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, seq, a_ids, a_offsets, a_records, b_ids, b_offsets, b_records in _rows(batches):
+        for part, seq, a_ids, a_offsets, a_records, a_levels, b_ids, b_offsets, b_records, b_levels in _rows(batches):
             found: list[tuple[int | None, int, str]] = []
             if a_ids is None or b_ids is None:
                 found = [(p, i, "missing" if b_ids is None else "added") for i, p in enumerate(a_ids or b_ids or [])]
             elif len(a_ids) == len(b_ids):
-                # Behind a record of another length all ranges have moved: leaves are then the records alone.
+                # Behind a record of another length all ranges have moved, and with them the leaves: the records' digests decide.
                 moved = a_offsets != b_offsets
-                sides = [tree(r if moved else leaves(o, r)) for o, r in ((a_offsets, a_records), (b_offsets, b_records))]
-                found = [(a_ids[i], i, "changed") for i in differing(*sides)]
+                at = [i for i, (x, y) in enumerate(zip(a_records, b_records)) if x != y] if moved else differing(a_levels, b_levels)
+                found = [(a_ids[i], i, "changed") for i in at]
             else:
                 found = unmatched(a_ids, a_records, b_ids, b_records)
             yield pa.RecordBatch.from_arrays(
@@ -216,7 +235,7 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
                 names=["page_id", "part", "seq", "record", "state"],
             )
 
-    return met.mapInArrow(run, "page_id long, part int, seq int, record long, state string")
+    return met.mapInArrow(run, schema)
 
 
 def damage(segments: DataFrame, page_every: int) -> DataFrame:
