@@ -273,6 +273,46 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def highest_quotients(weights, seats):
+    """Plain Sainte-Laguë: a seat at a time to the highest quotient, ties to the first."""
+    got = [0] * len(weights)
+    for _ in range(seats):
+        k = max(range(len(weights)), key=lambda i: (weights[i] / (2 * got[i] + 1), -i))
+        got[k] += 1
+    return got
+
+
+def test_apportionment_equals_highest_quotients(spark):
+    rng = random.Random(8)
+    groups = [[rng.choice([0, 1, 1, 2, 7, 100, 5000]) + 0.0 for _ in range(rng.randint(1, 30))] for _ in range(25)]
+    groups = [g for g in groups if sum(g)]
+    seats = [rng.randint(0, 200) for _ in groups]
+    rows = [(g, k, w, n) for g, (ws, n) in enumerate(zip(groups, seats)) for k, w in enumerate(ws)]
+    got = collections.defaultdict(dict)
+    for r in mixing.sainte_lague(spark.createDataFrame(rows, "g int, k int, w double, n long"), "w", F.col("n"), ["g"], ["k"]).collect():
+        got[r.g][r.k] = r.quota
+    for g, (ws, n) in enumerate(zip(groups, seats)):
+        assert [got[g][k] for k in range(len(ws))] == highest_quotients(ws, n)
+
+
+def test_shards_take_their_quota_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_SHARD", 40)
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.choice([0, 3, 50, 700]), "en", rng.choice("aaaab"), 1) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("m_id", F.lit(1)).withColumn("shard", F.lit("clash"))
+    got = mixing.mix(df).collect()
+    by, target, taken = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        by[r.source] += r.copies * r.size
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 0.005 * t and abs(by[s] - t) <= 0.05 * t
+    whole = sum(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in got)
+    assert whole < len(got)
+
+
 def brute_repeats(all_texts):
     raw = [(t or "").encode() for t in all_texts]
     seen = collections.Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))

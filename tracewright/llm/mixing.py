@@ -4,15 +4,16 @@ Every source is given a target of words: a share of all words by weight, never
 more than three times what it has, the excess shared again by weight. The whole
 target is cut into equal blocks of words, and whole blocks are apportioned to the
 sources by highest quotients target / (2k + 1), so quotas are integers that sum
-up exactly. Within a source the documents are laid end to end in a seeded order,
-and the source's quota is a run of blocks that starts at a seeded block and goes
-round: whole turns take every document once more, the last part of a turn takes
-the blocks it covers.
+up exactly. A source's documents are dealt by a seeded hash into shards of about
+ROWS_A_SHARD rows and laid end to end in seeded order, shard after shard; a block
+belongs to the shard in which it starts. Whole turns of the quota take every block
+once more; what is left is apportioned to the shards by highest quotients of their
+numbers of blocks, and each shard selects as many of its blocks as its quota says
+by a seeded permutation of their numbers. Words under a selected block are taken.
 
-Only tables with a row per source (or per source and shard) meet in one task. The
-seeded order is made of shards of a source, so that a source with most of all
-rows is sorted by many tasks; a prefix sum over shards joins them. All arithmetic
-is on integers and reruns agree.
+Only tables with a row per source or per shard meet in one task. A source with most
+of all rows has most of the shards and is sorted by many tasks; a prefix sum over
+shards joins them. All arithmetic is on integers and reruns agree.
 
 A null source is a source of its own, ordered last. Null and empty texts have
 size 0 and are never taken. Rows with one doc_id are documents of their own.
@@ -32,9 +33,11 @@ WEIGHTS = (5, 2, 1)
 MOST_TURNS = 3
 #: The least positive target is cut into this many blocks or more.
 BLOCKS_OF_LEAST = 1000
-#: Shards of a source's seeded order.
-SHARDS = 1024
+#: Rows of a shard, on average.
+ROWS_A_SHARD = 20_000
 SEED = 20240607
+#: Primes beyond any number of blocks of a shard: multipliers of the permutations of block numbers.
+PRIMES = (2147483647, 2147483629, 2147483587)
 
 
 def word_count(text: Column) -> Column:
@@ -75,79 +78,114 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return per.select("source", "source_size", num.alias("num"), den.alias("den"), (num.cast("double") / den).alias("target"))
 
 
-def apportion(targets: DataFrame) -> DataFrame:
-    """Adds ``block`` (words) and ``quota`` (blocks): Sainte-Laguë over the targets.
+def sainte_lague(df: DataFrame, weight: str, seats: Column, group: list[str], key: list[str]) -> DataFrame:
+    """Adds ``quota``: ``seats`` of each group dealt to its rows by highest quotients weight / (2k + 1), ties by ``key``.
 
-    Rounding each target to the nearest number of blocks leaves the sum off by less
-    than one block a source; the difference goes to the highest quotients (or comes
-    from the lowest), of which each source can hold only as many as its share of the
-    difference, so the list of quotients to rank has a few rows per source.
+    Rounding each row's share to a whole number leaves the sum off by less than one
+    seat a row; the difference goes to the highest quotients (or comes from the
+    lowest), of which each row can hold only as many as its share of the difference,
+    so the list of quotients to rank has a few rows per row of ``df``.
     """
+    whole, ties = Window.partitionBy(*group), [F.col(k).asc_nulls_last() for k in key]
+    w = F.col(weight).cast("double")
+    t = df.withColumn("seats_", seats.cast("long")).withColumns({"whole_": F.sum(w).over(whole), "n_": F.count(F.lit(1)).over(whole), "place_": F.row_number().over(whole.orderBy(*ties))})
+    t = t.withColumn("share_", F.when(F.col("whole_") > 0, w / F.col("whole_")).otherwise(0.0))
+    t = t.withColumn("first_", F.floor(F.col("seats_") * F.col("share_") + 0.5).cast("long"))
+    t = t.withColumn("miss_", F.col("seats_") - F.sum("first_").over(whole))
+    reach = F.ceil((F.abs("miss_") + F.col("n_")) * F.col("share_")).cast("int") + 1
+    names = list(dict.fromkeys([*group, *key]))
+    more = t.filter((F.col("miss_") != 0) & (w > 0)).select(*names, w.alias("w_"), "first_", "miss_", "place_", F.explode(F.sequence(F.lit(1), reach)).alias("k_"))
+    # Adding the k-th seat has quotient w / (2 (first + k) - 1); taking the k-th away w / (2 (first - k) + 1).
+    seat = F.when(F.col("miss_") > 0, F.col("first_") + F.col("k_")).otherwise(F.col("first_") - F.col("k_") + 1)
+    more = more.withColumn("quotient_", F.col("w_") / (2 * seat - 1)).filter(seat >= 1)
+    sign = F.when(F.col("miss_") > 0, -1).otherwise(1)
+    ranked = more.withColumn("rank_", F.row_number().over(Window.partitionBy(*group).orderBy(sign * F.col("quotient_"), -sign * F.col("place_"))))
+    changed = ranked.filter(F.col("rank_") <= F.abs("miss_")).groupBy(*(F.col(k).alias(f"c_{k}") for k in names)).agg(F.sum(F.signum("miss_")).cast("long").alias("change_"))
+    met = t.join(changed, [t[k].eqNullSafe(changed[f"c_{k}"]) for k in names], "left")
+    return met.select(*df.columns, (F.col("first_") + F.coalesce("change_", F.lit(0))).cast("long").alias("quota"))
+
+
+def apportion(targets: DataFrame) -> DataFrame:
+    """(source, source_size, target, block, quota): whole blocks of ``block`` words dealt to the sources."""
     whole = Window.partitionBy()
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole)
-    t = targets.withColumn("block", F.greatest(F.lit(1), F.floor(least / BLOCKS_OF_LEAST)).cast("long"))
-    t = t.withColumn("first", F.floor(F.col("target") / F.col("block") + 0.5).cast("long"))
-    t = t.withColumns(
-        {
-            "miss": (F.round(F.sum("target").over(whole) / F.col("block")) - F.sum("first").over(whole)).cast("long"),
-            "share": F.col("target") / F.sum("target").over(whole),
-            "n": F.count(F.lit(1)).over(whole),
-        }
-    )
-    reach = F.ceil((F.abs("miss") + F.col("n")) * F.col("share")).cast("int") + 1
-    more = t.filter((F.col("miss") != 0) & (F.col("target") > 0)).select(
-        "source", "target", "first", "miss", F.explode(F.sequence(F.lit(1), reach)).alias("k")
-    )
-    # Adding the k-th seat has quotient t / (2 (first + k) - 1); taking the k-th away t / (2 (first - k) + 1).
-    seat = F.when(F.col("miss") > 0, F.col("first") + F.col("k")).otherwise(F.col("first") - F.col("k") + 1)
-    more = more.withColumn("quotient", F.col("target") / (2 * seat - 1)).filter(seat >= 1)
-    sign = F.when(F.col("miss") > 0, -1).otherwise(1)
-    ranked = more.withColumn("rank", F.row_number().over(Window.orderBy(sign * F.col("quotient"), F.col("source").asc_nulls_last())))
-    changed = ranked.filter(F.col("rank") <= F.abs("miss")).groupBy("source").agg(F.sum(F.signum("miss")).cast("long").alias("change"))
-    c = changed.select(F.col("source").alias("c_source"), "change")
-    return t.join(c, t.source.eqNullSafe(c.c_source), "left").select(
-        "source", "source_size", "target", "block", (F.col("first") + F.coalesce("change", F.lit(0))).alias("quota")
-    )
+    t = targets.select("source", "source_size", "target", F.greatest(F.lit(1), F.floor(least / BLOCKS_OF_LEAST)).cast("long").alias("block"))
+    t = t.withColumn("all_blocks", F.round(F.sum("target").over(whole) / F.coalesce("block", F.lit(1))))
+    return sainte_lague(t, "target", F.col("all_blocks"), [], ["source"]).withColumn("block", F.coalesce("block", F.lit(1).cast("long"))).drop("all_blocks")
+
+
+def chosen(number: Column, shard: dict[str, Column]) -> Column:
+    """Whether the block of a number is among the ``picks`` blocks that its shard (first, blocks, picks, key) selects."""
+    n, key = F.greatest(F.lit(1).cast("long"), shard["blocks"]), shard["key"]
+    prime = F.element_at(F.array(*(F.lit(p).cast("long") for p in PRIMES)), (F.pmod(key, F.lit(len(PRIMES))) + 1).cast("int"))
+    # Steps of a prime that does not divide their count visit all numbers once.
+    return F.pmod((number - shard["first"]) * F.pmod(prime, n) + F.pmod(key, n), n) < shard["picks"]
+
+
+def shard_quotas(shards: DataFrame, quotas: DataFrame, seed: int = SEED) -> DataFrame:
+    """From (source, shard, size) and the sources' quotas, a row per shard: s_source, s_shard, ``ahead`` (words of the
+    source before it), source_size, target, block, turns, its blocks (first, blocks, picks, key), and ``lead``: whether
+    the block that reaches into it from an earlier shard is selected."""
+    ahead = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    q = quotas.withColumnRenamed("source", "q_source")
+    s = shards.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0).cast("long")))
+    s = s.join(q, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
+    ceil = lambda words: F.expr(f"({words} + block - 1) div block")
+    s = s.withColumn("first", ceil("ahead")).withColumn("blocks", ceil("(ahead + size)") - F.col("first"))
+    s = s.withColumn("all_blocks", F.greatest(F.lit(1).cast("long"), ceil("source_size"))).withColumn("quota", F.least("quota", MOST_TURNS * F.col("all_blocks")))
+    s = s.withColumn("turns", F.expr("quota div all_blocks")).withColumn("rest", F.expr("quota % all_blocks"))
+    s = s.drop("quota").withColumn("key", F.expr("abs(xxhash64(%dL, source, shard) %% 1073741789)" % seed))
+    s = sainte_lague(s, "blocks", F.col("rest"), ["source"], ["shard"]).withColumnRenamed("quota", "picks")
+    parts = ["first", "blocks", "picks", "key"]
+    owner = F.last(F.when(F.col("blocks") > 0, F.struct(*parts)), ignorenulls=True).over(ahead)
+    s = s.withColumn("owner", owner)
+    lead = chosen(F.expr("ahead div block"), {p: F.col("owner")[p] for p in parts})
+    return s.select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "ahead", "source_size", "target", "block", "turns", *parts, F.coalesce(lead, F.lit(False)).alias("lead"))
 
 
 def mix(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Per row of ``df``: doc_id, size, source, source_size, target, taken (words), and
-    copies, the number of whole copies a whole-document mix takes, and row_key."""
+    copies, the number of whole copies a whole-document mix takes, and row_key.
+
+    A whole-document mix cannot cut documents: beside whole turns a shard takes, in its
+    seeded order, documents up to the number of words of its selected blocks."""
     read = df.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("row_key"))
-    sized = Stage(read.withColumn("shard", F.pmod(F.shiftright("row_key", 40), F.lit(SHARDS)).cast("int")), "sized").read()
+    sized = Stage(read, "sized").read()
+    rows = sized.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).select(F.col("source").alias("n_source"), F.expr(f"(rows + {ROWS_A_SHARD} - 1) div {ROWS_A_SHARD}").alias("n_shards"))
+    # A row per source: joined by broadcast if its size, known from the written table, allows.
+    rows = Stage(rows, "rows").read()
+    sized = sized.join(rows, F.col("source").eqNullSafe(F.col("n_source")))
+    sized = sized.withColumn("shard", F.pmod(F.shiftright("row_key", 20), F.col("n_shards"))).drop("n_source", "n_shards")
     # Source totals, a small table by source, come from the shard totals.
     shards = Stage(sized.groupBy("source", "shard").agg(F.sum("size").alias("size")), "shards").read()
     quotas = Stage(apportion(source_targets(shards)), "quotas").read()
-    ahead = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("ahead"))
-    q = quotas.withColumnRenamed("source", "q_source")
-    starts = starts.join(q, F.col("s_source").eqNullSafe(F.col("q_source"))).drop("q_source")
-    words = F.least(F.col("quota") * F.col("block"), MOST_TURNS * F.col("source_size"))
-    starts = starts.withColumn("words", words).withColumn(
-        "begin", F.col("block") * F.pmod(F.xxhash64(F.lit(seed), "s_source"), F.greatest(F.lit(1), F.expr("source_size div block")))
-    )
+    dealt = Stage(shard_quotas(shards, quotas, seed), "shard-quotas").read()
     inner = Window.partitionBy("source", "shard").orderBy("row_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("start", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    met = placed.join(starts, placed.source.eqNullSafe(starts.s_source) & (placed.shard == starts.s_shard))
-    size, total = F.col("size"), F.col("source_size")
-    turns = F.when(total > 0, F.expr("words div source_size")).otherwise(0)
-    rest = F.when(total > 0, F.expr("words % source_size")).otherwise(0)
-    a = F.col("start") + F.col("ahead")
-
-    def covered(low: Column, high: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(a + size, high) - F.greatest(a, low))
-
-    end = F.col("begin") + rest
-    part = covered(F.col("begin"), F.least(end, total)) + covered(F.lit(0), end - total)
-    middle = F.pmod(a + F.expr("size div 2") - F.col("begin"), F.greatest(F.lit(1), total)) < rest
+    zero = F.lit(0).cast("long")
+    placed = sized.withColumn("start", F.coalesce(F.sum("size").over(inner), zero))
+    met = placed.join(dealt, placed.source.eqNullSafe(dealt.s_source) & (placed.shard == dealt.s_shard))
+    met = met.withColumn("a", F.col("start") + F.col("ahead"))
+    size, block = F.col("size"), F.col("block")
+    mine = {p: F.col(p) for p in ("first", "blocks", "picks", "key")}
+
+    def words(number: Column) -> Column:
+        """Words of the document in a block, if that is selected."""
+        here = F.least(F.col("a") + size, (number + 1) * block) - F.greatest(F.col("a"), number * block)
+        return F.when(F.when(number < F.col("first"), F.col("lead")).otherwise(chosen(number, mine)), here).otherwise(zero)
+
+    numbers = F.sequence(F.expr("a div block"), F.expr("(a + size - 1) div block"))
+    part = F.when(size > 0, F.aggregate(numbers, zero, lambda acc, j: acc + words(j))).otherwise(zero)
+    met = met.withColumn("part", part)
+    whole = Window.partitionBy("source", "shard")
+    once = (F.col("start") + F.expr("size div 2") < F.sum("part").over(whole)).cast("int")
     return met.select(
         "doc_id",
         "size",
         "source",
         "source_size",
         "target",
-        (turns * size + part).cast("long").alias("taken"),
-        F.when(size > 0, turns + middle.cast("long")).otherwise(0).cast("int").alias("copies"),
+        (F.col("turns") * size + F.col("part")).cast("long").alias("taken"),
+        F.when(size > 0, F.col("turns") + once).otherwise(0).cast("int").alias("copies"),
         "row_key",
     )
 
