@@ -2,13 +2,15 @@
 
 Base spans come from fixed patterns per kind with a validity check. High-recall
 generators propose further spans, which may overlap base spans and one another:
-written-out e-mail addresses, phone numbers without a country code, IPv4
-addresses with spaced dots, and card numbers with other separators. Boosted trees
-score a candidate by its format (digits, separators, check digit, length) and its
-context (a cue word before it, a letter or digit next to it); the threshold is
-calibrated to a precision on held-out rows. The trees are fitted on TRAINING_ROWS
-generated rows at most, a fixed bound, with a fixed seed. Candidates over the
-threshold are added where they overlap no base span and no earlier added span.
+written-out e-mail addresses, phone numbers in national or 00 form, IPv4 addresses
+with spaced or bracketed dots, card numbers with other or mixed separators, and, as
+a kind of its own, secrets: unbroken runs of key characters. Boosted trees score a
+candidate by its format (length, digits, letters, separators, check digit, changes
+between letters and digits) and its context (a cue word before it, an assignment, a
+letter or digit next to it); the threshold is calibrated to a precision on held-out
+rows. The trees are fitted on TRAINING_ROWS generated rows at most, a fixed bound,
+with a fixed seed. Candidates over the threshold are added where they overlap no
+base span and no earlier added span.
 
 Positions are found without Python: a regular expression's matches and the
 pieces between them, both from one-pass functions, alternate, so running sums of
@@ -34,7 +36,9 @@ from .boosting import BoostedTrees
 from .common import DOC_COLUMNS, whole_text
 from .quality import let
 
-KINDS = ["email", "ip", "card", "phone"]
+#: Kinds of base spans, and the one that only the method finds.
+BASE_KINDS = ["email", "ip", "card", "phone"]
+KINDS = [*BASE_KINDS, "secret"]
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Patterns of the base spans: the same matches as the plain forms in the comments.
@@ -51,26 +55,36 @@ BASE = {
 #: A text without this has no match.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
-_AT, _DOT = r"[\x20]{0,2}[\[({<][\x20]?(?:at|AT)[\x20]?[\])}>][\x20]{0,2}", r"[\x20]{0,2}[\[({<][\x20]?(?:dot|DOT)[\x20]?[\])}>][\x20]{0,2}"
+_AT = r"(?:[\x20]{0,2}[\[({<][\x20]?(?:at|AT)[\x20]?[\])}>][\x20]{0,2}|[\x20](?:at|AT)[\x20])"
+_DOT = r"(?:[\x20]{0,2}[\[({<][\x20]?(?:dot|DOT)[\x20]?[\])}>][\x20]{0,2}|[\x20](?:dot|DOT)[\x20]|\.)"
 #: Generators of further candidates.
 MORE = {
     "email": rf"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+){{1,4}}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:[\x20]?\.[\x20]?[0-9]{1,3}|\[\.\][0-9]{1,3}){3}(?![0-9.])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[./_\t][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[\x20./_\t-]{1,2}[0-9]{4}){3}|[0-9]{4}[\x20./_\t-][0-9]{6}[\x20./_\t-][0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:00[1-9][0-9]{0,2}(?:[\x20().-]{1,2}[0-9]{2,4}){2,4}|\(?0[1-9][0-9]{1,3}\)?[\x20./-][0-9]{3,4}(?:[\x20-][0-9]{2,4}){1,2}|(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4})(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,256}+={0,2}(?![A-Za-z0-9_+/=-])",
 }
-MORE_HINT = {"email": r"(?:at|AT)[\x20]?[\])}>]", "ip": r"[0-9](?:[\x20]\.|\.[\x20]|\[\.\])[\x20]?[0-9]", "card": r"[0-9]{4}[./_\t][0-9]{4}[./_\t]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
-#: Words that announce personal data.
-CUE = r"(?i)(mail|contact|write|phone|call|tel|mobile|fax|cell|reach|card|visa|credit|payment|host|server|address)"
+MORE_HINT = {
+    "email": r"(?:at|AT)[\x20]?[\])}>]|[\x20](?:at|AT)[\x20][A-Za-z0-9-]+(?:\.[A-Za-z]|[\x20](?:dot|DOT)[\x20])",
+    "ip": r"[0-9](?:[\x20]\.|\.[\x20]|\[\.\])[\x20]?[0-9]",
+    "card": r"[0-9]{4}[\x20./_\t-][\x20./_\t-]?[0-9]{4}",
+    "phone": r"[0-9]{3}[\x20.-][0-9]{4}|00[1-9]|0[1-9][0-9]{1,3}\)?[\x20./-][0-9]{3}",
+    "secret": r"[A-Za-z0-9_+/-]{16}",
+}
+#: Words that announce personal data or secrets.
+CUE = r"(?i)(mail|contact|write|phone|call|tel|mobile|fax|cell|reach|card|visa|credit|payment|host|server|address|token|secret|key|passw|bearer|auth)"
 CUE_REACH = 40
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
 #: Bound on generated rows to fit on, and rows held out for the threshold.
 TRAINING_ROWS = 4000
 SEED = 20240607
 PRECISION = 0.98
 
-FEATURES = ["kind", "length", "digits", "separators", "luhn", "in_range", "cue", "letter_before", "letter_after"]
+FEATURES = ["kind", "length", "digits", "separators", "luhn", "in_range", "cue", "letter_before", "letter_after", "changes", "spelled", "assigned"]
+#: A border between a letter and a digit; an at or dot in brackets or in words; an assignment just before.
+CHANGE, SPELLED, ASSIGNED = "[A-Za-z][0-9]|[0-9][A-Za-z]", r"(?i)[\[({<][\x20]?(?:at|dot)[\x20]?[\])}>]|[\x20]dot[\x20]", r"[=:][\x20]?[\"']?\z"
 
 
 def digits_of(text: Column) -> Column:
@@ -130,25 +144,35 @@ def spans_of(text: Column, pattern: str, hint: str, keep) -> Column:
 def _generated(rng: random.Random) -> tuple[str, str, int, str, str, str]:
     """(kind, span, label, text before, character before, character after) of one made-up row."""
     kind, good = rng.choice(KINDS), rng.random() < 0.5
-    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
-    cues = {"email": "mail contact write", "ip": "host server address", "card": "card visa credit payment", "phone": "phone call tel mobile fax"}
-    before = f"{word()} {rng.choice(cues[kind].split())}: " if rng.random() < (0.9 if good else 0.05) else f"{word()} {word()} "
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    digits = lambda n: some(n, "0123456789")
+    word = lambda low=2, high=9: some(rng.randint(low, high), "abcdefghijklmnopqrstuvwxyz")
+    cues = {"email": "mail contact write", "ip": "host server address", "card": "card visa credit payment", "phone": "phone call tel mobile fax", "secret": "token secret key password bearer auth"}
+    cued = rng.random() < (0.7 if good else 0.1)
+    before = f"{word()} {rng.choice(cues[kind].split())}{rng.choice([': ', ' ', ' = '])}" if cued else f"{word()} {word()} "
     if kind == "email":
-        span = f"{word()}.{digits(2)} [at] {word()} [dot] {rng.choice(['com', 'org', 'net'])}" if good else f"{word()} (at) {word()} (dot) {word()}"
+        name, host, top = f"{word()}{rng.choice(['', '.', '_'])}{word()}", word(), rng.choice(["com", "org", "net", "de", "co"])
+        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", "."), (" (at) ", "."), ("<at>", ".")])
+        span = f"{name}{at}{host}{dot}{top}" if good else rng.choice([f"{word()} at {word()}.{word()}", f"{word()} (at) {word()}.{digits(2)}", f"{word()} at {word()}.{word()}.{word()}"])
     elif kind == "ip":
         top = 255 if good else 999
         span = rng.choice([" . ", "[.]", ". ", " ."]).join(str(rng.randint(0, top)) for _ in range(4))
     elif kind == "card":
-        body = rng.choice("3456" if good else "0123456789") + digits(14)
+        short = rng.random() < 0.2
+        body = rng.choice("3456" if good else "0123456789") + digits(13 if short else 14)
         total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, body[::-1])))
-        last = -total % 10 if good else (rng.randint(1, 9) - total) % 10
-        s = body + str(last)
-        span = rng.choice("./_").join(s[i : i + 4] for i in range(0, 16, 4))
-    else:
+        s = body + str(-total % 10 if good else (rng.randint(1, 9) - total) % 10)
+        cuts = [s[:4], s[4:10], s[10:]] if short else [s[i : i + 4] for i in range(0, 16, 4)]
+        span = cuts[0] + "".join(rng.choice(["." , "/", "_", "-", " ", " - "][: 6 if good else 5]) + c for c in cuts[1:])
+    elif kind == "phone":
         sep = rng.choice(" .-")
-        area = f"{rng.choice('23456789')}{digits(2)}" if good else digits(3)
-        span = f"({area}) {digits(3)}-{digits(4)}" if rng.random() < (0.7 if good else 0.1) else f"{area}{sep}{digits(3)}{sep}{digits(4)}"
+        area = f"{rng.choice('23456789')}{digits(2)}"
+        forms = [f"({area}) {digits(3)}-{digits(4)}", f"{area}{sep}{digits(3)}{sep}{digits(4)}", f"00{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(3)}", f"(0{rng.randint(10, 999)}) {digits(4)} {digits(3)}", f"0{rng.randint(10, 999)}/{digits(3)} {digits(4)}"]
+        span = rng.choice(forms) if good and cued else f"({area}) {digits(3)}-{digits(4)}" if good else f"{digits(3)}{sep}{digits(3)}{sep}{digits(4)}"
+    else:
+        size = rng.choice([20, 24, 32, 40, 48, 64])
+        kinds = ["0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+        span = some(size, rng.choice(kinds)) if good else rng.choice([word(16, 30), "-".join(word(3, 9) for _ in range(5)), digits(rng.randint(16, 24)), "/".join(word(3, 9) for _ in range(4)), f"{word(8, 12)}_{word(6, 9)}{digits(2)}", "_" * rng.randint(16, 40), "-" * rng.randint(16, 60), word(16, 30).upper()])
     edge = lambda p: rng.choice("x7") if rng.random() < p else " "
     return kind, span, int(good), before, edge(0.02 if good else 0.3), edge(0.02 if good else 0.3)
 
@@ -160,6 +184,7 @@ def _row_features(kind: str, span: str, before: str, left: str, right: str) -> l
     return [
         KINDS.index(kind), len(span), len(d), len(re.sub("[A-Za-z0-9]+", "", span)), float(total % 10 == 0), float(not big),
         float(bool(re.search(CUE, before[-CUE_REACH:]))), float(bool(re.match("[A-Za-z0-9]", left))), float(bool(re.match("[A-Za-z0-9]", right))),
+        len(re.findall(CHANGE, span)), float(bool(re.search(SPELLED, span))), float(bool(re.search(ASSIGNED.replace(r"\z", r"\Z"), before[-CUE_REACH:]))),
     ]
 
 
@@ -190,6 +215,9 @@ def scores(kind: str, text: Column, span: Column, trees: BoostedTrees) -> Column
         before.rlike(CUE).cast("double"),
         F.when(a > 0, near(a)).otherwise(0.0),
         near(b + 1),
+        F.size(F.regexp_extract_all(s, F.lit(CHANGE), F.lit(0))).cast("double"),
+        s.rlike(SPELLED).cast("double"),
+        before.rlike(ASSIGNED).cast("double"),
     )
     return let(made, lambda v: trees.column([v[i] for i in range(len(FEATURES))]))
 
@@ -205,14 +233,14 @@ def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     plain = lambda k: lambda s: F.struct(F.lit(k).alias("k"), s["a"].alias("a"), s["b"].alias("b"))
     out = df
     for k, kind in enumerate(KINDS):
-        found = spans_of(t, BASE[kind], HINT[kind], partial(valid, kind))
+        if kind in BASE:
+            out = out.withColumn(f"base_{kind}", F.transform(spans_of(t, BASE[kind], HINT[kind], partial(valid, kind)), plain(k)))
         more = spans_of(t, MORE[kind], MORE_HINT[kind], lambda m: F.lit(True))
         judged = F.filter(more, over(kind))
         none = F.array().cast("array<struct<k:int,a:int,b:int>>")
         # Most texts have none: the candidates are scored only where the generator's hint holds.
-        out = out.withColumn(f"base_{kind}", F.transform(found, plain(k)))
         out = out.withColumn(f"more_{kind}", F.when(t.rlike(MORE_HINT[kind]), F.transform(judged, plain(k))).otherwise(none))
-    base = F.concat(*(F.col(f"base_{kind}") for kind in KINDS))
+    base = F.concat(*(F.col(f"base_{kind}") for kind in BASE_KINDS))
     more = F.concat(*(F.col(f"more_{kind}") for kind in KINDS))
     out = out.withColumn("base", base).withColumn("more", more)
 
@@ -230,7 +258,7 @@ def joined(spans: Column) -> Column:
 
 
 def find(df: DataFrame) -> DataFrame:
-    """Per row of ``df``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Per row of ``df``: doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans, and the redacted text."""
     found = with_spans(df.select("doc_id", whole_text().alias("text")))
     count = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
     return found.select(
@@ -238,6 +266,7 @@ def find(df: DataFrame) -> DataFrame:
         *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        redact(F.col("text"), F.col("spans")).alias("text"),
     )
 
 
