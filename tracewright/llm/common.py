@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stages import Stage, scratch_path  # noqa: F401
+from ..functions.stages import Stage, forget_at_exit, scratch_path  # noqa: F401
 
 #: Columns of ``documents``; a filtering stage returns exactly these.
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
