@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Stage
 from .encoding import token_lengths
 
 #: Lengths of a block.
@@ -29,7 +30,8 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     every document is cut to n_tokens), quantile (share of documents no longer).
     """
     hist = lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
-    hist = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # Read twice below: written, so that no text is encoded twice.
+    hist = Stage(hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "histogram").read()
     below = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
