@@ -34,7 +34,7 @@ MOST_TURNS = 3
 #: The least positive target is cut into this many blocks or more.
 BLOCKS_OF_LEAST = 1000
 #: Rows of a shard, on average.
-ROWS_A_SHARD = 20_000
+ROWS_A_SHARD = 4_000
 SEED = 20240607
 #: Primes beyond any number of blocks of a shard: multipliers of the permutations of block numbers.
 PRIMES = (2147483647, 2147483629, 2147483587)
