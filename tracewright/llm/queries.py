@@ -45,7 +45,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

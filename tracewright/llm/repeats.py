@@ -172,8 +172,8 @@ def removed_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    types = [pa.int64()] * 4 + [pa.string(), pa.string()]
     for batch in batches:
         for row in range(0, batch.num_rows, 512):
             columns: list[list] = [[] for _ in names]
@@ -183,7 +183,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = removed_runs(np.unique(np.concatenate(spans)) if spans else np.zeros(0, np.int64))
                 cuts = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-                for column, v in zip(columns, (doc, len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept)):
+                for column, v in zip(columns, (doc, len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace"))):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -236,9 +236,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
-    """Per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
+    """Per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining text (the kept bytes, with
+    a replacement character where a removed byte was a part of a character)."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
     found = repeated_windows(docs).withColumnsRenamed({"doc_id": "f_id", "text_key": "f_key"})
     met = docs.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     return met.select("doc_id", "text", "found").mapInArrow(_remove, schema)
