@@ -25,7 +25,7 @@ TWINS = [
     ("recursion", "recursion.unbounded_loop", "c", "while (1) {", "while (i < n) {"),
     ("dangerous_function", "dangerous_function.gets", "c", "gets(s);", "fgets(s, n, f);"),
     ("configuration", "configuration.cors_any", "js", "'Access-Control-Allow-Origin': '*'", "'Access-Control-Allow-Origin': origin"),
-    ("obfuscation", "obfuscation.eval_decode", "py", "exec(base64.b64decode(x))", "base64.b64decode(x)"),
+    ("obfuscation", "obfuscation.exec_compile", "py", "exec(compile(x, 'a', 'exec'))", "compile(x, 'a', 'exec')"),
 ]
 
 

@@ -104,7 +104,7 @@ def test_surface(spark):
     assert {r.title for r in surface.exposures(sites).collect()} == {"Version disclosed", "Debug endpoint", "Query introspection"}
     assert surface.missing_headers(sites).count() == 4
     got = one(spark, surface.classify_endpoint(F.lit("/admin/users")))
-    assert (got.type, got.priority, got.vectors) == ("user_data", 3, ["privilege_escalation", "object_reference"])
+    assert (got.type, got.priority, got.vectors) == ("rest", 3, ["auth_bypass", "privilege_escalation", "info_disclosure", "idor"])
 
 
 def test_probe_rules(spark):

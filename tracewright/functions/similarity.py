@@ -49,7 +49,7 @@ def prove_boost(status: Column) -> Column:
 
 
 def relation_type(a_type: Column, b_type: Column, a_category: Column, b_category: Column) -> Column:
-    return F.when(a_type == b_type, "same_issue").when(a_category == b_category, "related_compliance").otherwise("similar_pattern")
+    return F.when(a_type == b_type, "same_issue").when(a_category == b_category, "related_compliance").otherwise("similar")
 
 
 def estimated_tokens(text: Column, multiplier: float = 1.0) -> Column:

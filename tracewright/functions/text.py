@@ -78,8 +78,12 @@ def reference_number(number: Column, prefix: str = "REF") -> Column:
     return F.format_string(f"{prefix}-%04d", number)
 
 
-#: Words that keyword extraction leaves out.
-STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "but", "has", "have", "its", "can", "may"]
+# Words that keyword extraction leaves out.
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "must", "shall", "can", "of", "in", "to", "for", "with", "on", "at", "from", "by", "about", "as", "into", "through", "and", "or",
+    "but", "not", "no", "if", "then", "that", "this", "it", "its", "than",
+]
 
 
 def keywords(column: Column, most: int = 15) -> Column:

@@ -64,13 +64,13 @@ def stepped_backoff(steps: list[float], attempt: Column, last_status: Column | N
     return step if last_status is None else F.when(last_status < 400, steps[0]).otherwise(step)
 
 
-#: Longest cooldown in seconds by kind of error.
-COOLDOWN_CAPS = {"rate_limit": 300, "server": 600, "auth": 3600}
+#: The first cooldown, and the longest one in seconds by kind of error and for any other.
+COOLDOWN_BASE, COOLDOWN_CAPS, COOLDOWN_CAP = 60.0, {"auth_error": 3600, "rate_limited": 600}, 300
 
 
-def cooldown(failures: Column, kind: Column, base: float = 30.0) -> Column:
+def cooldown(failures: Column, kind: Column, base: float = COOLDOWN_BASE) -> Column:
     """Seconds to wait from the third failure on, doubling up to the cap of the kind."""
-    cap = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in COOLDOWN_CAPS.items() for x in kv)), kind), F.lit(300))
+    cap = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in COOLDOWN_CAPS.items() for x in kv)), kind), F.lit(COOLDOWN_CAP))
     return F.when(failures >= 3, F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(failures - 3, F.lit(20))), cap.cast("double"))).otherwise(0.0)
 
 

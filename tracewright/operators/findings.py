@@ -77,10 +77,15 @@ def mark_rolled_up(findings: DataFrame, parents: DataFrame) -> DataFrame:
     return findings.join(links, "id", "left")
 
 
-def detail_score(is_rollup: Column, severity: Column, description: Column, line: Column) -> Column:
-    """How much a finding tells: parents first, then severity, then a known line, then longer text."""
-    base = lookup(severity, DETAIL_RANK, 1) * 1000 + F.when(F.coalesce(line, F.lit(0)) > 0, 100).otherwise(0) + F.least(F.length(text(description)), F.lit(99))
-    return F.when(is_rollup, 1_000_000).otherwise(base)
+#: What a finding's parts count beside ten times its severity's rank.
+SNIPPET_SCORE, HINTS_SCORE, CHECK_SCORE, ROLLUP_SCORE = 3, 2, 1, 1_000_000
+
+
+def detail_score(is_rollup: Column, severity: Column, n_references: Column, snippet: Column, n_hints: Column, check_id: Column) -> Column:
+    """How much a finding tells: parents first, then severity, references, a snippet, hints and a check id."""
+    filled = lambda c: text(c) != ""
+    extra = F.when(filled(snippet), SNIPPET_SCORE).otherwise(0) + F.when(n_hints > 0, HINTS_SCORE).otherwise(0) + F.when(filled(check_id), CHECK_SCORE).otherwise(0)
+    return F.when(is_rollup, ROLLUP_SCORE).otherwise(lookup(severity, DETAIL_RANK, 0) * 10 + F.coalesce(n_references, F.lit(0)) + extra)
 
 
 def merge_agents(findings: DataFrame, score: Column, family: str = "family") -> DataFrame:

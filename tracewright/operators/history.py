@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import reference_number
+from ..functions.text import reference_number, text
 
 
 def compare(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -130,15 +130,26 @@ def patch_fold(ops: DataFrame) -> DataFrame:
     return live.groupBy("run_id", "item", "field").agg(F.max_by("value", "seq").alias("value"))
 
 
-def loop_calls(calls: DataFrame, window: int = 40, warn: int = 3, kill: int = 5) -> DataFrame:
-    """W7, ST8: per call how often its signature came in the last ``window`` calls, whether A-B-A-B, and the verdict."""
+#: Calls looked back on, repeats that warn and that kill, and calls of a run in all.
+LOOP_WINDOW, LOOP_WARN, LOOP_KILL, LOOP_LIMIT = 40, 10, 20, 100
+
+
+def call_signature(tool: Column, args: Column, result: Column) -> Column:
+    """Calls alike in tool, arguments and result; equal calls with other results are no loop."""
+    return F.sha2(F.concat_ws("\0", text(tool), text(args), text(result)), 256)
+
+
+def loop_calls(calls: DataFrame, window: int = LOOP_WINDOW, warn: int = LOOP_WARN, kill: int = LOOP_KILL, limit: int = LOOP_LIMIT) -> DataFrame:
+    """W7, ST8: per call how often its signature came in the last ``window`` calls, whether A-B-A-B, and the verdict:
+    ``kill`` beyond a run's limit of calls, for too many repeats, or for A-B-A-B; else ``warn`` or ``continue``."""
     w = Window.partitionBy("run_id").orderBy("seq")
     recent = F.collect_list("signature").over(w.rowsBetween(1 - window, 0))
     seen = F.size(F.filter(recent, lambda s: s == F.col("signature")))
     lag = lambda n: F.lag("signature", n).over(w)
     pong = (lag(2) == F.col("signature")) & (lag(1) == lag(3)) & (lag(1) != F.col("signature"))
     out = calls.withColumn("repeats", seen).withColumn("ping_pong", F.coalesce(pong, F.lit(False)))
-    return out.withColumn("verdict", F.when(F.col("repeats") >= kill, "kill").when((F.col("repeats") >= warn) | F.col("ping_pong"), "warn").otherwise("ok"))
+    killed = (F.row_number().over(w) >= limit) | (F.col("repeats") >= kill) | F.col("ping_pong")
+    return out.withColumn("verdict", F.when(killed, "kill").when(F.col("repeats") >= warn, "warn").otherwise("continue"))
 
 
 def expand_stages(wanted: DataFrame, has_source: bool) -> DataFrame:

@@ -53,6 +53,8 @@ PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]|xxxx|dummy|<[^>]+>)"
 VARIABLE = r"(\$\{?[A-Za-z_]|os\.environ|process\.env|getenv|\{\{|<%)"
 TOKEN = r"[A-Za-z0-9+/=_-]{32,}"
 LEAST_ENTROPY = 4.5
+#: Hex of the lengths of well-known digests is taken for one, whatever its case.
+DIGESTS = "^(" + "|".join(f"[0-9a-fA-F]{{{n}}}" for n in (40, 56, 64, 96, 128)) + ")$"
 
 
 def is_variable_reference(value: Column) -> Column:
@@ -69,7 +71,7 @@ def provider_secrets(lines: DataFrame, keys: list[str]) -> DataFrame:
 def high_entropy(lines: DataFrame, keys: list[str], pattern: str = TOKEN, least: float = LEAST_ENTROPY) -> DataFrame:
     """Long tokens of high entropy that are neither hashes nor ids; once per line and first sixteen characters."""
     cut = lines.select(*keys, "line_num", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("token"))
-    plain = F.col("token").rlike(r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") | F.col("token").rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-")
+    plain = F.col("token").rlike(DIGESTS) | F.col("token").rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
     scored = cut.filter(~plain).withColumn("entropy", F.round(shannon_entropy(F.col("token")), 6)).filter(F.col("entropy") >= least)
     return scored.groupBy(*keys, "line_num", F.substring("token", 1, 16).alias("head")).agg(F.min("token").alias("token"), F.min_by("entropy", "token").alias("entropy"))
 

@@ -14,7 +14,10 @@ FORM_CHARS = 2000
 HEAD_CHARS = 3000
 
 #: What pages of a technology show in their first characters.
-TECHNOLOGIES = {"wordpress": "wp-content", "react": "data-reactroot", "next.js": "__next", "angular": "ng-version", "vue": "data-v-", "jquery": "jquery", "bootstrap": "bootstrap", "drupal": "drupal"}
+TECHNOLOGIES = {
+    "react": "react", "next.js": "next", "vue": "vue", "angular": "angular", "django": "django", "flask": "flask", "laravel": "laravel", "express": "express",
+    "wordpress": "wp-content", "rails": "rails", "spring": "spring",
+}
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -128,25 +131,35 @@ def graphql_fields(files: DataFrame) -> DataFrame:
     return out
 
 
-#: Endpoint rules: pattern, type, priority, vectors.
+# Endpoint rules over lower-case paths (pattern, type, priority, vectors), and the kinds told before them.
 ENDPOINTS = [
-    (r"(?i)(auth|login|signin|token|session)", "auth", 3, ["auth_bypass", "brute_force"]), (r"(?i)admin", "admin", 3, ["privilege_escalation"]), (r"(?i)(pay|checkout|billing)", "payment", 3, ["business_logic"]),
-    (r"(?i)(upload|file|download)", "file", 2, ["path_traversal"]), (r"(?i)(user|profile|account)", "user_data", 2, ["object_reference"]), (r"(?i)(config|setting|debug)", "config", 2, ["information_disclosure"]),
+    ("/auth/|/login|/logout|/signin|/signout|/register|/signup|/token|/oauth|/callback|/session|/password|/verify|/confirm", "auth", 3, ["auth_bypass", "brute_force", "credential_stuffing"]),
+    ("/admin|/manage|/dashboard", "admin", 3, ["auth_bypass", "privilege_escalation", "info_disclosure"]),
+    ("/payment|/checkout|/order|/cart|/stripe|/billing|/subscription", "rest", 3, ["auth_bypass", "idor", "injection"]),
+    ("/upload|/download|/file|/image|/media|/attachment|/export|/import", "rest", 2, ["path_traversal", "upload_bypass", "ssrf"]),
+    ("/users?|/profile|/account|/me$|/preferences", "rest", 2, ["idor", "auth_bypass", "info_disclosure"]),
+    ("/config|/settings|/env|/debug|/status|/health|/info|/metrics|/version", "config", 2, ["info_disclosure", "auth_bypass", "secrets_leak"]),
 ]
+EARLY_ENDPOINTS = [
+    ("graphql|gql", "graphql", 2, ["introspection", "injection", "dos_query", "auth_bypass"]), ("^/ws|websocket", "websocket", 1, ["injection", "auth_bypass"]),
+    ("/rpc|/jsonrpc", "rpc", 2, ["method_enumeration", "injection", "auth_bypass"]),
+]
+USUAL_VECTORS = ["auth_bypass", "injection", "info_disclosure"]
 
 
 def classify_endpoint(path: Column) -> Column:
     """struct(type, priority, vectors): early kinds first, then all rules fold: last type, highest priority, joined vectors."""
-    def made(kind: Column, priority: Column, vectors: Column) -> Column:
-        return F.struct(kind.alias("type"), priority.alias("priority"), vectors.alias("vectors"))
-
-    hits = [path.rlike(p) for p, *_ in ENDPOINTS]
+    low = F.lower(path)
+    words = lambda v: F.array(*map(F.lit, v)) if v else F.array().cast("array<string>")
+    made = lambda t, n, v: F.struct(t.alias("type"), n.alias("priority"), v.alias("vectors"))
+    hits = [low.rlike(p) for p, *_ in ENDPOINTS]
     kind = F.coalesce(*(F.when(h, t) for h, (_, t, _, _) in reversed(list(zip(hits, ENDPOINTS)))), F.lit("rest"))
     priority = F.greatest(*(F.when(h, n).otherwise(1) for h, (_, _, n, _) in zip(hits, ENDPOINTS)))
-    vectors = F.array_distinct(F.flatten(F.array(*(F.when(h, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for h, (_, _, _, v) in zip(hits, ENDPOINTS)))))
-    usual = F.when(F.size(vectors) == 0, F.array(F.lit("injection"))).otherwise(vectors)
-    fixed = lambda t, n, v: made(F.lit(t), F.lit(n), F.array(F.lit(v)))
-    return F.when(path.rlike(r"(?i)(graphql|gql)"), fixed("graphql", 2, "introspection")).when(path.rlike(r"(?i)^/ws(/|$)|websocket"), fixed("websocket", 1, "origin")).when(path.rlike(r"(?i)/rpc"), fixed("rpc", 2, "injection")).otherwise(made(kind, priority, usual))
+    vectors = F.array_distinct(F.flatten(F.array(*(F.when(h, words(v)).otherwise(words([])) for h, (_, _, _, v) in zip(hits, ENDPOINTS)))))
+    out = made(kind, priority, F.when(F.size(vectors) == 0, words(USUAL_VECTORS)).otherwise(vectors))
+    for p, t, n, v in reversed(EARLY_ENDPOINTS):
+        out = F.when(low.rlike(p), made(F.lit(t), F.lit(n), words(v))).otherwise(out)
+    return out
 
 
 def discovery_score(sites: DataFrame, findings: DataFrame) -> DataFrame:

@@ -53,13 +53,13 @@ def dedup_left_anti(spark, sf_dir):
     return findings.new_findings(f.filter("ord % 5 <> 0"), f.filter("ord % 5 = 0"), ["ord"]).select("id")
 
 
-@query(f"""{_F}, k AS (SELECT *, lower(title) || '|' || path || '|' || greatest(line_num, 1) AS key, {_RANK5} * 1000 + 100 AS score FROM findings),
+@query(f"""{_F}, k AS (SELECT *, lower(title) || '|' || path || '|' || greatest(line_num, 1) AS key, {_RANK5} * 10 + CASE WHEN check_id <> '' THEN 1 ELSE 0 END AS score FROM findings),
   b AS (SELECT key, agent_type, row_number() OVER (PARTITION BY key ORDER BY score DESC, ord) AS rn, id, severity FROM k), a AS (SELECT key, list(DISTINCT agent_type) AS agents FROM k GROUP BY key)
   SELECT id, severity, list_sort(list_filter(agents, lambda x: x <> agent_type)) AS cross_agent_origins, round(least(0.3, 0.1 * (len(agents) - 1)), 2) AS boost FROM b JOIN a USING (key) WHERE rn = 1""")
 def cross_agent_merge(spark, sf_dir):
     """A2: one finding per title, path and line, with the other agents that saw it."""
     f = events_as_findings(spark, sf_dir).withColumn("family", F.lit(""))
-    score = findings.detail_score(F.lit(False), F.col("severity"), F.col("description"), F.col("line_num"))
+    score = findings.detail_score(F.lit(False), F.col("severity"), F.lit(0), F.lit(""), F.lit(0), F.col("check_id"))
     return findings.merge_agents(f, score).select("id", "severity", "cross_agent_origins", "boost")
 
 
@@ -353,9 +353,9 @@ def greedy_batches(spark, sf_dir):
     return findings.greedy_batches(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 100_000)
 
 
-@query("""WITH w AS (SELECT event_id, event_type, list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS r, lag(event_type, 1) OVER s AS a, lag(event_type, 2) OVER s AS b, lag(event_type, 3) OVER s AS c FROM events WINDOW s AS (PARTITION BY user_id ORDER BY event_id)),
-  x AS (SELECT event_id, len(list_filter(r, lambda v: v = event_type))::INT AS repeats, coalesce(b = event_type AND a = c AND a <> event_type, false) AS ping_pong FROM w)
-  SELECT event_id, repeats, ping_pong, CASE WHEN repeats >= 5 THEN 'kill' WHEN repeats >= 3 OR ping_pong THEN 'warn' ELSE 'ok' END AS verdict FROM x""")
+@query("""WITH w AS (SELECT event_id, event_type, list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS r, lag(event_type, 1) OVER s AS a, lag(event_type, 2) OVER s AS b, lag(event_type, 3) OVER s AS c, row_number() OVER s AS total FROM events WINDOW s AS (PARTITION BY user_id ORDER BY event_id)),
+  x AS (SELECT event_id, len(list_filter(r, lambda v: v = event_type))::INT AS repeats, coalesce(b = event_type AND a = c AND a <> event_type, false) AS ping_pong, total FROM w)
+  SELECT event_id, repeats, ping_pong, CASE WHEN total >= 100 OR repeats >= 20 OR ping_pong THEN 'kill' WHEN repeats >= 10 THEN 'warn' ELSE 'continue' END AS verdict FROM x""")
 def loop_detector(spark, sf_dir):
     """Repeated events of a user within forty."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("signature"))
@@ -399,10 +399,10 @@ def error_kinds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", budget.error_kind(F.col("event_id") % 600, message).alias("kind"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 9 >= 3 THEN least(30 * power(2, event_id % 9 - 3), CASE event_type WHEN 'error' THEN 600 WHEN 'signup' THEN 3600 ELSE 300 END) ELSE 0 END::DOUBLE AS seconds FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 9 >= 3 THEN least(60 * power(2, event_id % 9 - 3), CASE event_type WHEN 'error' THEN 600 WHEN 'signup' THEN 3600 ELSE 300 END) ELSE 0 END::DOUBLE AS seconds FROM events")
 def cooldown_seconds(spark, sf_dir):
     """Cooldown in closed form."""
-    kind = F.when(F.col("event_type") == "error", "server").when(F.col("event_type") == "signup", "auth").otherwise("rate_limit")
+    kind = F.when(F.col("event_type") == "error", "rate_limited").when(F.col("event_type") == "signup", "auth_error").otherwise("server_error")
     return table(spark, sf_dir, "events").select("event_id", budget.cooldown(F.col("event_id") % 9, kind).alias("seconds"))
 
 

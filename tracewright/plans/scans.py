@@ -137,7 +137,7 @@ def span_secrets(spark, sf_dir):
 
 @query(f"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_num, unnest(regexp_extract_all(line, '[A-Za-z0-9+/=_-]{{16,}}')) AS token FROM lines),
   e AS (SELECT doc_id, line_num, token, round(-list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: ((length(token) - length(replace(token, c, ''))) / length(token)) * log2((length(token) - length(replace(token, c, ''))) / length(token)))), 6) AS entropy
-    FROM t WHERE NOT regexp_matches(token, '^([0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}})$'))
+    FROM t WHERE NOT regexp_matches(token, '^([0-9a-fA-F]{{40}}|[0-9a-fA-F]{{56}}|[0-9a-fA-F]{{64}}|[0-9a-fA-F]{{96}}|[0-9a-fA-F]{{128}})$'))
   SELECT doc_id, line_num, substr(token, 1, 16) AS head, min(token) AS token, arg_min(entropy, token) AS entropy FROM e WHERE entropy >= 3.0 GROUP BY ALL""")
 def entropy_tokens(spark, sf_dir):
     """Long tokens of three bits a character or more that are no hashes."""
@@ -190,7 +190,7 @@ def code_snippet(spark, sf_dir):
 
 
 @query("""SELECT item_id, list_distinct_ordered AS keywords FROM (SELECT item_id, (list_filter(w, lambda x, i: list_position(w, x) = i))[:15] AS list_distinct_ordered FROM (SELECT item_id,
-  list_filter(list_transform(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: regexp_replace(w, '^[.,;:!?()\\[\\]{}"'']+|[.,;:!?()\\[\\]{}"'']+$', '', 'g')), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was', 'not', 'but', 'has', 'have', 'its', 'can', 'may')) AS w FROM benchmark))""".replace("\\\\", "\\"))
+  list_filter(list_transform(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: regexp_replace(w, '^[.,;:!?()\\[\\]{}"'']+|[.,;:!?()\\[\\]{}"'']+$', '', 'g')), lambda w: length(w) >= 3 AND w NOT IN ('the', 'are', 'was', 'were', 'been', 'being', 'have', 'has', 'had', 'does', 'did', 'will', 'would', 'could', 'should', 'may', 'might', 'must', 'shall', 'can', 'for', 'with', 'from', 'about', 'into', 'through', 'and', 'but', 'not', 'then', 'that', 'this', 'its', 'than')) AS w FROM benchmark))""".replace("\\\\", "\\"))
 def keyword_extract(spark, sf_dir):
     """The first fifteen keywords of benchmark texts."""
     return table(spark, sf_dir, "benchmark").select("item_id", keywords(F.col("text")).alias("keywords"))
@@ -228,7 +228,7 @@ def html_forms(spark, sf_dir):
     return surface.forms(table(spark, sf_dir, "pages")).select("page_id", "action", "method")
 
 
-@query("WITH t(technology, mark) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in surface.TECHNOLOGIES.items()) + ") SELECT page_id, technology FROM pages JOIN t ON contains(lower(substr(html, 1, 3000)), mark)")
+@query("WITH t(technology, mark) AS (VALUES ('react', 'react'), ('next.js', 'next'), ('vue', 'vue'), ('angular', 'angular'), ('django', 'django'), ('flask', 'flask'), ('laravel', 'laravel'), ('express', 'express'), ('wordpress', 'wp-content'), ('rails', 'rails'), ('spring', 'spring')) SELECT page_id, technology FROM pages JOIN t ON contains(lower(substr(html, 1, 3000)), mark)")
 def page_technologies(spark, sf_dir):
     """Technologies by the head of a page."""
     return surface.technologies(table(spark, sf_dir, "pages"))
@@ -241,13 +241,20 @@ def static_path_filter(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM pages)
-  SELECT page_id, CASE WHEN regexp_matches(path, '(?i)(graphql|gql)') THEN 'graphql' WHEN regexp_matches(path, '(?i)^/ws(/|$)|websocket') THEN 'websocket' WHEN regexp_matches(path, '(?i)/rpc') THEN 'rpc'
-    WHEN regexp_matches(path, '(?i)(config|setting|debug)') THEN 'config' WHEN regexp_matches(path, '(?i)(user|profile|account)') THEN 'user_data' WHEN regexp_matches(path, '(?i)(upload|file|download)') THEN 'file'
-    WHEN regexp_matches(path, '(?i)(pay|checkout|billing)') THEN 'payment' WHEN regexp_matches(path, '(?i)admin') THEN 'admin' WHEN regexp_matches(path, '(?i)(auth|login|signin|token|session)') THEN 'auth' ELSE 'rest' END AS type FROM p""")
+  , r(n, pattern, type, priority, vectors) AS (VALUES (1, '/auth/|/login|/logout|/signin|/signout|/register|/signup|/token|/oauth|/callback|/session|/password|/verify|/confirm', 'auth', 3, ['auth_bypass', 'brute_force', 'credential_stuffing']),
+    (2, '/admin|/manage|/dashboard', 'admin', 3, ['auth_bypass', 'privilege_escalation', 'info_disclosure']), (3, '/payment|/checkout|/order|/cart|/stripe|/billing|/subscription', 'rest', 3, ['auth_bypass', 'idor', 'injection']),
+    (4, '/upload|/download|/file|/image|/media|/attachment|/export|/import', 'rest', 2, ['path_traversal', 'upload_bypass', 'ssrf']), (5, '/users?|/profile|/account|/me$|/preferences', 'rest', 2, ['idor', 'auth_bypass', 'info_disclosure']),
+    (6, '/config|/settings|/env|/debug|/status|/health|/info|/metrics|/version', 'config', 2, ['info_disclosure', 'auth_bypass', 'secrets_leak'])),
+  q AS (SELECT page_id, path || extra AS path FROM (SELECT page_id, lower(path) AS path, CASE page_id % 11 WHEN 0 THEN '/login/users' WHEN 1 THEN '/gql' WHEN 2 THEN '/rpc' WHEN 3 THEN '/cart' WHEN 4 THEN '/settings/upload' WHEN 5 THEN '/websocket' ELSE '' END AS extra FROM p)),
+  m AS (SELECT page_id, path, arg_max(type, n) AS type, max(priority) AS priority FROM q LEFT JOIN r ON regexp_matches(path, pattern) GROUP BY ALL)
+  SELECT page_id, CASE WHEN contains(path, 'graphql') OR contains(path, 'gql') THEN 'graphql' WHEN starts_with(path, '/ws') OR contains(path, 'websocket') THEN 'websocket' WHEN contains(path, '/rpc') OR contains(path, '/jsonrpc') THEN 'rpc' ELSE coalesce(type, 'rest') END AS type,
+    CASE WHEN contains(path, 'graphql') OR contains(path, 'gql') THEN 2 WHEN starts_with(path, '/ws') OR contains(path, 'websocket') THEN 1 WHEN contains(path, '/rpc') OR contains(path, '/jsonrpc') THEN 2 ELSE coalesce(priority, 1) END AS priority FROM m""")
 def endpoint_classify(spark, sf_dir):
-    """Endpoint kinds of page paths."""
-    c = surface.classify_endpoint(F.regexp_extract("url", "^https?://[^/]+([^?#]*)", 1))
-    return table(spark, sf_dir, "pages").select("page_id", c["type"].alias("type"))
+    """Endpoint kinds and priorities of page paths, some with an ending of a kind."""
+    n = F.col("page_id") % 11
+    ending = F.when(n == 0, "/login/users").when(n == 1, "/gql").when(n == 2, "/rpc").when(n == 3, "/cart").when(n == 4, "/settings/upload").when(n == 5, "/websocket").otherwise("")
+    c = surface.classify_endpoint(F.concat(F.regexp_extract("url", "^https?://[^/]+([^?#]*)", 1), ending))
+    return table(spark, sf_dir, "pages").select("page_id", c["type"].alias("type"), c["priority"].alias("priority"))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'unknown' ELSE 'unknown' END AS language, lower(lang) AS ext FROM documents")

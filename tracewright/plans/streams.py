@@ -68,8 +68,9 @@ def stream_windowed(spark, sf_dir):
     return _run(spark, streaming.windowed(_stream(spark, sf_dir)), "complete").withColumn("total", F.round("total", 6))
 
 
-@query("""WITH w AS (SELECT user_id, event_id, event_type, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS r FROM events), x AS (SELECT user_id, event_id, len(list_filter(r, lambda v: v = event_type))::INT AS repeats FROM w)
-  SELECT user_id, event_id, repeats, CASE WHEN repeats >= 5 THEN 'kill' WHEN repeats >= 3 THEN 'warn' ELSE 'ok' END AS verdict FROM x""")
+@query("""WITH w AS (SELECT user_id, event_id, event_type, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS r, lag(event_type, 1) OVER s AS a, lag(event_type, 2) OVER s AS b, lag(event_type, 3) OVER s AS c, row_number() OVER s AS total
+    FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts, event_id)), x AS (SELECT user_id, event_id, total, len(list_filter(r, lambda v: v = event_type))::INT AS repeats, coalesce(b = event_type AND a = c AND a <> event_type, false) AS pong FROM w)
+  SELECT user_id, event_id, repeats, CASE WHEN total >= 100 OR repeats >= 20 OR pong THEN 'kill' WHEN repeats >= 10 THEN 'warn' ELSE 'continue' END AS verdict FROM x""")
 def stream_loop_detector(spark, sf_dir):
     """ST8: the last forty events of a user are state."""
     return _run(spark, streaming.loop_detector(_stream(spark, sf_dir)), "append")

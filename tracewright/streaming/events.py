@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.history import LOOP_KILL, LOOP_LIMIT, LOOP_WARN, LOOP_WINDOW
+
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 #: Event kinds that have a meaning; others are dropped.
 KNOWN = {"click": "finding_delta", "view": "progress", "purchase": "state_snapshot", "signup": "run_started", "error": "run_error"}
@@ -60,20 +62,23 @@ def windowed(events: DataFrame, delay: str = "1 hour", width: str = "1 day") ->
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def loop_detector(events: DataFrame, window: int = 40, warn: int = 3, kill: int = 5) -> DataFrame:
-    """ST8: per user the last ``window`` event types are kept as state; a row per event with its repeats and verdict."""
+def loop_detector(events: DataFrame, window: int = LOOP_WINDOW, warn: int = LOOP_WARN, kill: int = LOOP_KILL, limit: int = LOOP_LIMIT) -> DataFrame:
+    """ST8: per user the last ``window`` event types and the number of events are kept as state; a row per event with its
+    repeats and verdict."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
+        recent, total = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out = []
         for r in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples():
             recent = [*recent, r.event_type][-window:]
             n = recent.count(r.event_type)
-            out.append((key[0], r.event_id, n, "kill" if n >= kill else "warn" if n >= warn else "ok"))
-        state.update((recent,))
+            total += 1
+            pong = len(recent) >= 4 and recent[-1] == recent[-3] != recent[-2] == recent[-4]
+            out.append((key[0], r.event_id, n, "kill" if total >= limit or n >= kill or pong else "warn" if n >= warn else "continue"))
+        state.update((recent, total))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "repeats", "verdict"])
 
-    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, repeats int, verdict string", "recent array<string>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, repeats int, verdict string", "recent array<string>, total long", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(events: DataFrame) -> DataFrame:
