@@ -1,6 +1,6 @@
 """The registered queries and their oracle SQL."""
 
-from . import relations, scans, streams
+from . import fixtures, relations, scans, streams
 
-QUERIES = {**scans.QUERIES, **relations.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**scans.ORACLE_SQL, **relations.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**scans.QUERIES, **relations.QUERIES, **streams.QUERIES, **fixtures.QUERIES}
+ORACLE_SQL = {**scans.ORACLE_SQL, **relations.ORACLE_SQL, **streams.ORACLE_SQL, **fixtures.ORACLE_SQL}
