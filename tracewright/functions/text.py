@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What ends a line, as for Python's splitlines().
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+OTHER_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 # Rank scales and weights per severity.
 ROLLUP_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
@@ -26,11 +27,17 @@ def lookup(key: Column, table: dict, default=None) -> Column:
 
 
 def lines_of(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys..., line_num from 1, line); no line for what follows a last line end, none for null."""
-    cut = F.split(F.col(text), LINE_END)
-    last = F.element_at(cut, -1)
-    cut = F.when(last == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
-    exploded = df.select(*keys, F.posexplode(cut).alias("pos", "line"))
+    """(keys..., line_num from 1, line); no line for what follows a last line end, none for null or empty text.
+
+    The last line end is cut off first, so that each text is split once, and by a plain
+    line feed where it holds no other line end."""
+    t = F.col(text)
+    ended = F.right(t, F.lit(1)).rlike(LINE_END)
+    shorter = lambda n: F.substring(t, F.lit(1), F.length(t) - n)
+    body = F.when(F.right(t, F.lit(2)) == "\r\n", shorter(2)).when(ended, shorter(1)).otherwise(t)
+    some = df.filter(t != "").select(*keys, body.alias("body_"))
+    cut = F.when(F.col("body_").rlike(OTHER_LINE_END), F.split("body_", LINE_END)).otherwise(F.split("body_", "\n"))
+    exploded = some.select(*keys, F.posexplode(cut).alias("pos", "line"))
     return exploded.select(*keys, (F.col("pos") + 1).alias("line_num"), "line")
 
 
