@@ -1,25 +1,27 @@
-"""Operator 8: removal of every byte under a 400-byte string that starts twice in the corpus.
+"""Operator 8: removal of every byte under a 400-byte string that starts twice in the corpus, by suffix sorting.
 
-The method asked for is an external induced suffix sort of each shard; alone it
-cannot see repeats across shards, and it is not built here yet (see the README).
-What runs instead is exact in the same sense. Every 400-byte window is owned by
-an anchor, the least hash among its 32-byte substrings, so equal windows have
-equal anchors at equal offsets. The
-windows of one anchor occurrence form a fragment; inside a repeated passage the
-fragments repeat as wholes, so that
+Shards hold what can be equal. Every 400-byte window is owned by an anchor, the least
+hash among its 32-byte substrings, so equal windows have equal anchors at equal
+offsets, and an exchange by anchor brings them together. The windows of one anchor
+occurrence form a fragment; inside a repeated passage the fragments repeat as wholes:
 
 1. fragments are counted by a 128-bit digest. An anchor whose fragments are one
    single fragment is settled: it repeats, or it is unique and is dropped;
-2. only where one anchor has different fragments (the rims of repeated passages)
-   is one copy of each different fragment fetched and its windows compared, by
-   128-bit window digests sorted within the anchor's shard;
-3. the window starts found go back to all documents that hold the fragment.
+2. where one anchor has different fragments (the rims of repeated passages), two
+   of them can share a window only if they share the 200 bytes before the anchor or
+   the 200 bytes from it on, so that a fragment which shares neither is dropped;
+3. of the others one copy of each is fetched, and each shard sorts all suffixes of
+   its fragments by external induced sorting (see ``suffix_sort``), whose queues
+   carry suffixes and common-prefix values: neighbours in suffix order that share
+   400 bytes or more are windows that occur twice;
+4. the window starts found go back to all documents that hold the fragment.
 
 Copies are collapsed before they are shuffled (per document, then by partial
-aggregation), and an anchor with very many different fragments is split by the
-window's offset to the anchor, as only windows of one offset can be equal. No
-group is capped. A document longer than PIECE bytes is searched piece by piece
-with overlap; pieces only add rims.
+aggregation). An anchor with more than FRAGMENTS_A_SHARD different fragments is dealt
+by the window's offset to the anchor, as only windows of one offset can be equal, and
+within an offset by a hash of the window: a fragment goes, window by window, to the
+offsets it spans and no others. No group is capped. A document longer than PIECE
+bytes is searched piece by piece with overlap; pieces only add rims.
 
 Null text is empty. Texts shorter than a window keep all bytes. Rows with equal
 doc_id and text are documents of their own and repeat each other. An empty table
@@ -36,46 +38,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, shuffle_width, whole_text
+from .common import Stage, forget_at_exit, scratch_path, shuffle_width, whole_text
+from .suffix_sort import sort_texts
 
 WINDOW = 400
 GRAM = 32
 PIECE = 1 << 20
 #: Different fragments of an anchor that one shard compares.
 FRAGMENTS_A_SHARD = 2048
-#: Windows that a task sorts together, but for an anchor's own.
-WINDOWS_AT_ONCE = 1 << 18
+#: Bytes that a task sorts together, but for an anchor's own.
+BYTES_AT_ONCE = 2 << 20
+#: Of two equal windows, so many bytes before the anchor or from it on are equal.
+SIDE = WINDOW // 2
+#: Offsets that a window can have to its anchor.
+OFFSETS = WINDOW - GRAM + 1
 
 _POSITION = np.uint64((1 << 24) - 1)
-_TABLES = np.random.default_rng(20240607).integers(0, 1 << 63, (2, 256), np.uint64, endpoint=False) * np.uint64(2) + np.uint64(1)
-_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def _join(left: np.ndarray, right: np.ndarray, factor: np.uint64) -> np.ndarray:
-    """Hashes of joined strings from the hashes of their halves."""
-    x = left * factor + right
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x
-
-
-def doubled(data: np.ndarray, which: int, wanted: list[int]) -> list[np.ndarray]:
-    """Hashes of all substrings of the wanted lengths, powers of two in rising order."""
-    h, size, out = _TABLES[which][data], 1, []
-    while True:
-        if size in wanted:
-            out.append(h)
-        if size >= wanted[-1]:
-            return out
-        h = _join(h[:-size], h[size:], _FACTORS[which])
+_TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, np.uint64, endpoint=False) * np.uint64(2) + np.uint64(1)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all substrings of GRAM bytes, a power of two, from those of their halves."""
+    h, size = _TABLE[data], 1
+    while size < GRAM:
+        h = h[:-size] * _FACTOR + h[size:]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
         size *= 2
+    return h
 
 
 def fragments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of bytes: per fragment the first window's start, the number of windows, the anchor's position and its hash."""
     n = len(data) - WINDOW + 1
-    (gram,) = doubled(data, 0, [GRAM])
+    gram = gram_hashes(data)
     least = (gram & ~_POSITION) | np.arange(len(gram), dtype=np.uint64)
     wide, size = WINDOW - GRAM + 1, 1
     while 2 * size <= wide:
@@ -112,55 +110,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def window_digests(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of the bytes."""
-    out = []
-    for which in (0, 1):
-        (h16, h128, h256), f = doubled(data, which, [16, 128, 256]), _FACTORS[which]
-        n = len(data) - WINDOW + 1
-        out.append(_join(_join(h256[:n], h128[256 : 256 + n], f), h16[384 : 384 + n], f))
-    return out[0], out[1]
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From fragments (anchor, shard, shards, f1, f2, windows, lead, fragment), an anchor's shard together:
-    (anchor, f1, f2, at) with ``at`` the starts, in the fragment, of windows that another fragment holds too."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(r[7] for r in held), np.uint8)
-        ends = np.cumsum([len(r[7]) for r in held])
-        own = np.concatenate([np.full(r[5], i) for i, r in enumerate(held)])
-        place = np.concatenate([np.arange(r[5]) for r in held])
-        lead, shard, shards = (np.array([r[k] for r in held])[own] for k in (6, 1, 2))
-        offset = lead - place
-        mine = offset * shards // (WINDOW - GRAM + 1) == shard
-        own, place = own[mine], place[mine]
-        spot = (ends - [len(r[7]) for r in held])[own] + place
-        a, b = (h[spot] for h in window_digests(data))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        same = np.zeros(len(a) + 1, bool)
-        same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        hit = np.zeros(len(own), bool)
-        hit[order] = same[1:] | same[:-1]
-        out: list[list] = [[], [], [], []]
-        who, at = own[hit], place[hit]
-        for i in np.unique(who).tolist():
-            for column, v in zip(out, (held[i][0], held[i][3], held[i][4], at[who == i].tolist())):
-                column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.list_(pa.int32())])], names=["anchor", "f1", "f2", "at"])
-
-    for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and r[:2] != held[-1][:2] and size >= WINDOWS_AT_ONCE:
-                yield flush()
-                held, size = [], 0
-            held.append(r)
-            size += r[5]
-    if held:
-        yield flush()
+def _compare(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From pieces of fragments (anchor, shard, part, f1, f2, base, piece), a group of the first three together:
+        (anchor, f1, f2, at) with ``at`` the starts, in the fragment, of windows that another fragment holds too."""
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            order, shared, left = sort_texts([r[6] for r in held], WINDOW, folder)
+            same = shared >= WINDOW
+            found = np.sort(order[(same | np.r_[same[1:], False]) & (left[order] >= WINDOW)])
+            ends = np.cumsum([len(r[6]) + 1 for r in held])
+            who = np.searchsorted(ends, found, side="right")
+            at = found - (ends - [len(r[6]) + 1 for r in held])[who] + np.array([r[5] for r in held], np.int64)[who]
+            rows = np.flatnonzero(np.bincount(who, minlength=len(held)))
+            cuts = np.searchsorted(who, np.r_[rows, len(held)])
+            columns = [[held[i][k] for i in rows.tolist()] for k in (0, 3, 4)] + [[at[a:b] for a, b in zip(cuts, cuts[1:])]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.list_(pa.int32())])], names=["anchor", "f1", "f2", "at"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and r[:3] != held[-1][:3] and size >= BYTES_AT_ONCE:
+                    yield flush()
+                    held, size = [], 0
+                held.append(r)
+                size += len(r[6])
+        if held:
+            yield flush()
+
+    return run
 
 
 def removed_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,32 +184,54 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         F.sum(F.size("starts")).alias("n"), F.min(F.struct("doc_id", "text_key", F.col("starts")[0].alias("start"), "windows", "lead")).alias("one")
     )
     rims = Stage(rims.select(*key, "n", "one.*"), "rims").read()
-    many = rims.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / FRAGMENTS_A_SHARD).alias("shards"))
-    many = many.select("anchor", F.least("shards", F.lit(WINDOW - GRAM + 1)).cast("int").alias("shards"))
     places = rims.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*key, "start", "windows", "lead")).alias("rims"))
     texts = docs.join(places.withColumnsRenamed({"doc_id": "p_id", "text_key": "p_key"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")))
-    fetched = Stage(texts.select("text", "rims").mapInArrow(_fetch, "anchor long, f1 long, f2 long, windows int, lead int, fragment binary"), "rim-bytes").read()
-    fetched = fetched.dropDuplicates(key).join(many, "anchor").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    order = ["anchor", "shard", "shards", "f1", "f2", "windows", "lead", "fragment"]
-    dealt = fetched.select(order).repartition(width, "anchor", "shard").sortWithinPartitions("anchor", "shard")
-    compared = dealt.mapInArrow(_compare, "anchor long, f1 long, f2 long, at array<int>").groupBy(*key).agg(F.flatten(F.collect_list("at")).alias("at"))
+    fetched = texts.select("text", "rims").mapInArrow(_fetch, "anchor long, f1 long, f2 long, windows int, lead int, before long, after long, fragment binary")
+    fetched = Stage(fetched.dropDuplicates(key), "rim-bytes").read()
+    sides = fetched.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("h")), F.struct(F.lit(1).alias("side"), F.col("after").alias("h")))).alias("s"))
+    sides = sides.select(*key, "s.*").filter("h IS NOT NULL")
+    alike_sides = sides.groupBy("anchor", "side", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    able = Stage(sides.join(alike_sides, ["anchor", "side", "h"], "left_semi").select(*key).distinct(), "able").read()
+    dealt = _dealt(fetched.join(able, key, "left_semi"), able).repartition(width, "anchor", "shard", "part").sortWithinPartitions("anchor", "shard", "part")
+    folder = scratch_path(docs.sparkSession, "queues")
+    forget_at_exit(docs.sparkSession, folder)
+    compared = dealt.mapInArrow(_compare(folder), "anchor long, f1 long, f2 long, at array<int>").groupBy(*key).agg(F.flatten(F.collect_list("at")).alias("at"))
     verdict = Stage(rims.select(*key, "n").join(compared, key, "left").filter("n > 1 OR at IS NOT NULL"), "verdicts").read()
     part = some.filter(~F.col("alike")).join(verdict, key).select("doc_id", "text_key", "starts", "windows", F.when(F.col("n") > 1, None).otherwise(F.col("at")).alias("at"))
     found = whole.unionByName(part)
     return found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("starts", "windows", "at")).alias("found"))
 
 
+def _dealt(fragments: DataFrame, able: DataFrame) -> DataFrame:
+    """(anchor, shard, part, f1, f2, base, piece): the bytes of each fragment's windows, by shard; ``base`` is the first
+    window's place in the fragment. Few fragments of an anchor are one shard; of many, each offset is one, in parts."""
+    n = able.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    shards = F.when(F.col("n") > FRAGMENTS_A_SHARD, OFFSETS).otherwise(1)
+    f = fragments.join(n, "anchor").withColumn("shards", shards).withColumn("parts", F.when(F.col("n") > FRAGMENTS_A_SHARD, F.expr(f"(n + {FRAGMENTS_A_SHARD} - 1) div {FRAGMENTS_A_SHARD}")).otherwise(1))
+    f = f.withColumn("shard", F.explode(F.expr(f"sequence((lead - windows + 1) * shards div {OFFSETS}, lead * shards div {OFFSETS})")))
+    first = F.expr(f"cast(greatest(0, lead - ((shard + 1) * {OFFSETS} + shards - 1) div shards + 1) AS int)")
+    last = F.expr(f"cast(least(windows - 1, lead - (shard * {OFFSETS} + shards - 1) div shards) AS int)")
+    piece = F.substring("fragment", first + 1, last - first + WINDOW)
+    f = f.select("anchor", F.col("shard").cast("int").alias("shard"), "parts", "f1", "f2", first.alias("base"), piece.alias("piece"))
+    return f.select("anchor", "shard", F.pmod(F.xxhash64("piece"), "parts").cast("int").alias("part"), "f1", "f2", "base", "piece")
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "f1", "f2", "windows", "lead", "fragment"]
-    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+    names = ["anchor", "f1", "f2", "windows", "lead", "before", "after", "fragment"]
+    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()]
+
+    def key(side: bytes) -> int | None:
+        return int.from_bytes(hashlib.blake2b(side, digest_size=8).digest(), "little", signed=True) if len(side) == SIDE else None
+
     for batch in batches:
         for row in range(0, batch.num_rows, 256):
             columns: list[list] = [[] for _ in names]
             for text, rims in zip(*(c.to_pylist() for c in batch.slice(row, 256).columns)):
                 raw = text.encode()
                 for r in rims:
-                    piece = raw[r["start"] : r["start"] + r["windows"] + WINDOW - 1]
-                    for column, v in zip(columns, (r["anchor"], r["f1"], r["f2"], r["windows"], r["lead"], piece)):
+                    piece, lead = raw[r["start"] : r["start"] + r["windows"] + WINDOW - 1], r["lead"]
+                    sides = key(piece[max(0, lead - SIDE) : lead]), key(piece[lead : lead + SIDE])
+                    for column, v in zip(columns, (r["anchor"], r["f1"], r["f2"], r["windows"], lead, *sides, piece)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
