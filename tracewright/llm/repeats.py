@@ -7,10 +7,11 @@ occurrence form a fragment; inside a repeated passage the fragments repeat as wh
 
 1. fragments are counted by a 128-bit digest. An anchor whose fragments are one
    single fragment is settled: it repeats, or it is unique and is dropped;
-2. where one anchor has different fragments (the rims of repeated passages), two
-   of them can share a window only if they share the 200 bytes before the anchor or
-   the 200 bytes from it on, so that a fragment which shares neither is dropped;
-3. of the others one copy of each is fetched, and each shard sorts all suffixes of
+2. where one anchor has different fragments (the rims of repeated passages), offsets
+   are taken in RANGES ranges; all windows of a range hold the same bytes around the
+   anchor, so that two fragments can share a window of a range only if they share
+   these bytes. Fragments that share none are dropped, others cut to their ranges;
+3. of what is left one copy of each is fetched, and each shard sorts all suffixes of
    its fragments by external induced sorting (see ``suffix_sort``), whose queues
    carry suffixes and common-prefix values: neighbours in suffix order that share
    400 bytes or more are windows that occur twice;
@@ -48,10 +49,9 @@ PIECE = 1 << 20
 FRAGMENTS_A_SHARD = 2048
 #: Bytes that a task sorts together, but for an anchor's own.
 BYTES_AT_ONCE = 2 << 20
-#: Of two equal windows, so many bytes before the anchor or from it on are equal.
-SIDE = WINDOW // 2
-#: Offsets that a window can have to its anchor.
-OFFSETS = WINDOW - GRAM + 1
+#: Offsets that a window can have to its anchor, and ranges of them.
+OFFSETS, RANGES = WINDOW - GRAM + 1, 4
+STEP = -(-OFFSETS // RANGES)
 
 _POSITION = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, np.uint64, endpoint=False) * np.uint64(2) + np.uint64(1)
@@ -186,13 +186,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     rims = Stage(rims.select(*key, "n", "one.*"), "rims").read()
     places = rims.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*key, "start", "windows", "lead")).alias("rims"))
     texts = docs.join(places.withColumnsRenamed({"doc_id": "p_id", "text_key": "p_key"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")))
-    fetched = texts.select("text", "rims").mapInArrow(_fetch, "anchor long, f1 long, f2 long, windows int, lead int, before long, after long, fragment binary")
+    fetched = texts.select("text", "rims").mapInArrow(_fetch, "anchor long, f1 long, f2 long, windows int, lead int, cores array<bigint>, fragment binary")
     fetched = Stage(fetched.dropDuplicates(key), "rim-bytes").read()
-    sides = fetched.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("h")), F.struct(F.lit(1).alias("side"), F.col("after").alias("h")))).alias("s"))
-    sides = sides.select(*key, "s.*").filter("h IS NOT NULL")
-    alike_sides = sides.groupBy("anchor", "side", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    able = Stage(sides.join(alike_sides, ["anchor", "side", "h"], "left_semi").select(*key).distinct(), "able").read()
-    dealt = _dealt(fetched.join(able, key, "left_semi"), able).repartition(width, "anchor", "shard", "part").sortWithinPartitions("anchor", "shard", "part")
+    cores = fetched.select(*key, F.posexplode("cores").alias("range", "core")).filter("core IS NOT NULL")
+    met = cores.groupBy("anchor", "range", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    able = cores.join(met, ["anchor", "range", "core"], "left_semi").groupBy(*key).agg((F.min("range") * STEP).alias("low"), (F.max("range") * STEP + STEP - 1).alias("high"))
+    able = Stage(able, "able").read()
+    dealt = _dealt(fetched.join(able, key), able).repartition(width, "anchor", "shard", "part").sortWithinPartitions("anchor", "shard", "part")
     folder = scratch_path(docs.sparkSession, "queues")
     forget_at_exit(docs.sparkSession, folder)
     compared = dealt.mapInArrow(_compare(folder), "anchor long, f1 long, f2 long, at array<int>").groupBy(*key).agg(F.flatten(F.collect_list("at")).alias("at"))
@@ -203,25 +203,28 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(fragments: DataFrame, able: DataFrame) -> DataFrame:
-    """(anchor, shard, part, f1, f2, base, piece): the bytes of each fragment's windows, by shard; ``base`` is the first
-    window's place in the fragment. Few fragments of an anchor are one shard; of many, each offset is one, in parts."""
+    """(anchor, shard, part, f1, f2, base, piece): the bytes of each fragment's windows with offsets from low to high, by
+    shard; ``base`` is the first window's place in the fragment. Few fragments of an anchor are one shard; of many, each offset is one, in parts."""
     n = able.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     shards = F.when(F.col("n") > FRAGMENTS_A_SHARD, OFFSETS).otherwise(1)
     f = fragments.join(n, "anchor").withColumn("shards", shards).withColumn("parts", F.when(F.col("n") > FRAGMENTS_A_SHARD, F.expr(f"(n + {FRAGMENTS_A_SHARD} - 1) div {FRAGMENTS_A_SHARD}")).otherwise(1))
-    f = f.withColumn("shard", F.explode(F.expr(f"sequence((lead - windows + 1) * shards div {OFFSETS}, lead * shards div {OFFSETS})")))
-    first = F.expr(f"cast(greatest(0, lead - ((shard + 1) * {OFFSETS} + shards - 1) div shards + 1) AS int)")
-    last = F.expr(f"cast(least(windows - 1, lead - (shard * {OFFSETS} + shards - 1) div shards) AS int)")
+    f = f.withColumn("shard", F.explode(F.expr(f"sequence(greatest(lead - windows + 1, low) * shards div {OFFSETS}, least(lead, high) * shards div {OFFSETS})")))
+    first = F.expr(f"cast(greatest(0, lead - high, lead - ((shard + 1) * {OFFSETS} + shards - 1) div shards + 1) AS int)")
+    last = F.expr(f"cast(least(windows - 1, lead - low, lead - (shard * {OFFSETS} + shards - 1) div shards) AS int)")
     piece = F.substring("fragment", first + 1, last - first + WINDOW)
     f = f.select("anchor", F.col("shard").cast("int").alias("shard"), "parts", "f1", "f2", first.alias("base"), piece.alias("piece"))
     return f.select("anchor", "shard", F.pmod(F.xxhash64("piece"), "parts").cast("int").alias("part"), "f1", "f2", "base", "piece")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "f1", "f2", "windows", "lead", "before", "after", "fragment"]
-    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()]
+    names = ["anchor", "f1", "f2", "windows", "lead", "cores", "fragment"]
+    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.list_(pa.int64()), pa.binary()]
 
-    def key(side: bytes) -> int | None:
-        return int.from_bytes(hashlib.blake2b(side, digest_size=8).digest(), "little", signed=True) if len(side) == SIDE else None
+    def core(piece: bytes, lead: int, windows: int, k: int) -> int | None:
+        """Hash of the bytes that all windows of a range of offsets hold; null if the fragment has no such window."""
+        if lead < k * STEP or lead - windows + 1 >= (k + 1) * STEP:
+            return None
+        return int.from_bytes(hashlib.blake2b(piece[lead - k * STEP : lead - (k + 1) * STEP + WINDOW + 1], digest_size=8).digest(), "little", signed=True)
 
     for batch in batches:
         for row in range(0, batch.num_rows, 256):
@@ -230,8 +233,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = text.encode()
                 for r in rims:
                     piece, lead = raw[r["start"] : r["start"] + r["windows"] + WINDOW - 1], r["lead"]
-                    sides = key(piece[max(0, lead - SIDE) : lead]), key(piece[lead : lead + SIDE])
-                    for column, v in zip(columns, (r["anchor"], r["f1"], r["f2"], r["windows"], lead, *sides, piece)):
+                    cores = [core(piece, lead, r["windows"], k) for k in range(RANGES)]
+                    for column, v in zip(columns, (r["anchor"], r["f1"], r["f2"], r["windows"], lead, cores, piece)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
