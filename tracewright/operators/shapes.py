@@ -167,7 +167,8 @@ def keyword_overlap(words: DataFrame, keywords: DataFrame, keys: list[str], leas
     """(keys, entry, matched, score) where distinct ``word``s meet ``least`` of an entry's keywords and ``share``
     of them all. ``keywords`` is (entry, word), an inverted index."""
     sizes = keywords.groupBy("entry").agg(F.countDistinct("word").alias("size"))
-    met = words.select(*keys, "word").distinct().join(keywords.distinct(), "word").groupBy(*keys, "entry").agg(F.count(F.lit(1)).alias("matched"))
+    # Joined first: words that no entry holds are never shuffled, and a group holds an entry's own words at most.
+    met = words.select(*keys, "word").join(keywords.distinct(), "word").groupBy(*keys, "entry").agg(F.size(F.collect_set("word")).cast("long").alias("matched"))
     scored = met.filter(F.col("matched") >= least).join(sizes, "entry").withColumn("score", F.col("matched") / F.col("size"))
     return scored.filter(F.col("score") >= share).drop("size")
 

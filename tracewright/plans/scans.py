@@ -9,7 +9,7 @@ from ..functions.text import keywords, memory_title, redact_secrets, rollup_titl
 from ..operators import detectors, memory, secrets, shapes, surface
 from ..operators.findings import downgrade_in_tests
 from ..sources import files as sources
-from .tables import LINES_SQL, files, lines, table
+from .tables import LINES_SQL, files, lines, spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -123,7 +123,7 @@ def keyword_overlap_index(spark, sf_dir):
     """Documents that hold most of a benchmark item's longer words, through an inverted index."""
     words = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 4))).alias("word"))
     entries = words(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "entry"), "entry")
-    found = shapes.keyword_overlap(words(table(spark, sf_dir, "documents"), "doc_id"), entries, ["doc_id"])
+    found = shapes.keyword_overlap(words(spread(table(spark, sf_dir, "documents")), "doc_id"), entries, ["doc_id"])
     return found.select("doc_id", "entry", "matched", F.round("score", 9).alias("score"))
 
 
@@ -132,7 +132,7 @@ def keyword_overlap_index(spark, sf_dir):
   SELECT doc_id, span, "offset", (length(substr(text, 1, "offset")) - length(replace(substr(text, 1, "offset"), chr(10), '')) + 1)::INT AS line_num FROM o""")
 def span_secrets(spark, sf_dir):
     """P10: sixteen-digit spans over whole texts with offset and line."""
-    return shapes.spans(table(spark, sf_dir, "documents"), ["doc_id"], "[0-9]{16}")
+    return shapes.spans(spread(table(spark, sf_dir, "documents")), ["doc_id"], "[0-9]{16}")
 
 
 @query(f"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_num, unnest(regexp_extract_all(line, '[A-Za-z0-9+/=_-]{{16,}}')) AS token FROM lines),

@@ -14,10 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer splits than cores, as a small file of one row group has: what is
+    done to them then outweighs moving them. An input of many splits stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files (doc_id, source, path, ext, content)."""
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", path.alias("path"), F.col("lang").alias("ext"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", path.alias("path"), F.col("lang").alias("ext"), F.col("text").alias("content"))
 
 
 def lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
