@@ -31,11 +31,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's chunk and piece caches, beside those of the batch in hand. A full one starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Words with more symbols than this go straight to heap-based merging.
 LONG_WORD = 256
 #: Texts cut and looked up together.
-TEXTS_AT_ONCE = 2048
+TEXTS_AT_ONCE = 1024
 
 # The pre-tokenization patterns that the two public files name.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,24 +90,21 @@ class IntTable:
         return out
 
 
-class Codec:
-    """Encoder and decoder of one tokenizer file. Results equal the library's
-    ``encode(text, add_special_tokens=False).ids`` with truncation and padding off."""
+class Vocabulary:
+    """Decoder of one tokenizer file: the bytes of each token, without the tables of an encoder."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.path, self._library = path, None
-        model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.words_only = spec.get("normalizer") is not None
-        if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
-            raise ValueError(f"{path} is not a plain BPE file")
-        vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.path = path
+        self.read(spec)
+
+    def read(self, spec: dict) -> dict[int, list[int] | None]:
+        """Takes over the vocabulary; returns the symbols of each token, None where it is not spelled in bytes."""
+        vocab = spec["model"]["vocab"]
+        self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        byte_of = {c: b for b, c in byte_alphabet().items()}
-        self.byte_of = byte_of
+        self.byte_of = byte_of = {c: b for b, c in byte_alphabet().items()}
         self.size = max([*vocab.values(), *self.special.values()]) + 1
 
         def symbols(token: str) -> list[int] | None:
@@ -125,6 +122,32 @@ class Codec:
             self.token_bytes[i] = token.encode() if s is None else bytes(x & 255 for x in s) + (b" " if self.suffix and s[-1] > 255 else b"")
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        return spelled
+
+    def decode(self, ids: bytes) -> bytes:
+        """Text of little-endian uint32 ids in UTF-8, as decode(ids, skip_special_tokens=False)."""
+        raw = b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        try:
+            raw.decode()
+            return raw
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace").encode()
+
+
+class Codec(Vocabulary):
+    """Encoder and decoder of one tokenizer file. Results equal the library's
+    ``encode(text, add_special_tokens=False).ids`` with truncation and padding off."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.path, self._library = path, None
+        spelled, model = self.read(spec), spec["model"]
+        self.words_only = spec.get("normalizer") is not None
+        if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+            raise ValueError(f"{path} is not a plain BPE file")
+        vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
         self.rank = np.full(self.size, -1, np.int64)
         self.left, self.right = np.full(self.size, -1, np.int64), np.full(self.size, -1, np.int64)
@@ -407,17 +430,9 @@ class Codec:
             out[i] = b"".join([piece(p) if type(p) is bytes else p.to_bytes(4, "little") for p in ps])
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        """Text of little-endian uint32 ids in UTF-8, as decode(ids, skip_special_tokens=False)."""
-        raw = b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        try:
-            raw.decode()
-            return raw
-        except UnicodeDecodeError:
-            return raw.decode("utf-8", "replace").encode()
-
 
 _CODECS: dict[str, Codec] = {}
+_VOCABULARIES: dict[str, Vocabulary] = {}
 
 
 def codec(path: str) -> Codec:
@@ -427,6 +442,15 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def vocabulary(path: str) -> Vocabulary:
+    """The worker's decoder of a file: its codec if one is loaded, else the vocabulary alone."""
+    if path in _CODECS:
+        return _CODECS[path]
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
 def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
     """Runs of texts of bounded length together."""
     run, size = [], 0

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import codec, encode_all, sha256_hex
+from .bpe import codec, encode_all, sha256_hex, vocabulary
 from .common import whole_text
 
 #: Rows of an Arrow batch that are turned into Python objects together.
-ROWS_AT_ONCE = 2048
+ROWS_AT_ONCE = 1024
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     names = out.columns
 
     def run(batches):
-        c = codec(path)
+        c = vocabulary(path)
         for part in _parts(batches):
             made = [c.decode(x or b"").decode() for x in part.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*names, text])
