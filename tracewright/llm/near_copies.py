@@ -10,13 +10,21 @@ proportion to it. Candidates far apart in all bits are dropped, the others are
 compared by their whole shingle sets.
 
 Texts with the same words are one node from the start. Each node of a bucket is
-first compared with its least node; then, in buckets that still hold nodes of
-several components, every pair across components is, but those whose similarity is
-bounded below the least one: texts of m and n shingles, s and t of which are in no
-other text of the first comparison, share c = min(m - s, n - t) at most, which makes
-their similarity c / (m + n - c) at most. So no pair that could be linked goes
-unseen, but members of a large group that are near its texts without being linked
-to them are compared with all of them that the bound leaves.
+first compared with its least node. What then stands in several components is
+compared in three steps, each across the components that the one before has left:
+
+1. nodes that share a shingle which at most RARE nodes have, among the rarest that
+   a text near them has to share one of (prefix filtering): at most RARE nodes meet
+   on a shingle, however large their bucket is;
+2. in each bucket, every node with LEADERS others, by which most nodes that belong
+   to a large component join it;
+3. in each bucket, every pair that could still be linked: it shares no rare shingle,
+   so texts of m and n shingles, s and t of them rare, share c = min(m - s, n - t)
+   at most, which makes their similarity c / (m + n - c) at most.
+
+So no pair that could be linked goes unseen, and members of a large group that are
+near its texts without being linked to them meet few of them, unless all but a few
+of their shingles are common ones: only these are compared with one another.
 
 Null text is read as empty; texts without words are one node. A text of fewer than
 five words has one shingle, the whole sequence, and is near its exact copies only.
@@ -46,6 +54,8 @@ MOST_BITS = 160
 SPARE_BITS, LEAST_BITS = 2, 14
 #: Bands that a pair at exactly the least similarity agrees in, on average.
 MEETINGS = 5
+#: Nodes that have a rare shingle, at most; nodes of a bucket that all others are compared with before every pair is.
+RARE, LEADERS = 64, 8
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 #: Odd constants that make eight words of one hash.
@@ -150,12 +160,51 @@ def _near(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFram
     return both.filter(100 * same >= LEAST_PERCENT * (F.size("a") + F.size("b") - same)).select("u", "v"), held
 
 
-def _own_shingles(held: DataFrame) -> DataFrame:
-    """(node, size, own): shingles of each node of ``held``, and how many of them no other node of it has."""
+def _rarity(held: DataFrame) -> DataFrame:
+    """(node, size, own, index) of each node of ``held``: its shingles, how many of them RARE nodes of it have at most,
+    and of these the ones that others have too among its rarest shingles: any text that has the least similarity to it
+    shares one of its rarest size - ceil(least * size) + 1, by the order of (number of nodes, shingle)."""
     each = held.select("node", F.explode("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
-    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    return held.select("node", F.size("shingles").cast("long").alias("size")).join(own, "node", "left").na.fill(0, ["own"])
+    counted = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter(F.col("n") <= RARE)
+    counted = Stage(counted, "rare").read()
+    once = counted.filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("once"))
+    some = each.join(counted.filter("n > 1").select("shingle", "n"), "shingle")
+    some = some.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("some"))
+    rarest = F.expr(f"size - ({LEAST_PERCENT} * size + 99) div 100 + 1 - once")
+    known = held.select("node", F.size("shingles").cast("long").alias("size")).join(once, "node", "left").join(some, "node", "left").na.fill(0, ["once"])
+    some = F.coalesce(F.col("some.shingle"), F.array().cast("array<long>"))
+    return known.select("node", "size", (F.col("once") + F.size(some)).alias("own"), F.slice(some, 1, F.greatest(F.lit(0), rarest).cast("int")).alias("index"))
+
+
+def _sharing(bounds: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that share a shingle of both indexes, at most RARE nodes a shingle."""
+    one = bounds.join(roots, bounds.node == roots.u, "left").select(F.col("node").alias("u"), F.coalesce("root", "node").alias("root"), "size", F.explode("index").alias("shingle"))
+    two = one.select("shingle", *(F.col(c).alias(f"v_{c}") for c in ("u", "root", "size")))
+    able = 100 * F.least("size", "v_size") >= LEAST_PERCENT * F.greatest("size", "v_size")
+    return one.join(two, "shingle").filter((F.col("root") != F.col("v_root")) & (F.col("u") > F.col("v_u")) & able).select("u", F.col("v_u").alias("v")).distinct()
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(band, u, root, size, own) of the nodes of buckets that hold several components; size and own are null where not known."""
+    spread = buckets.select("band", F.explode("nodes").alias("u")).join(roots, "u", "left").select("band", "u", F.coalesce("root", "u").alias("root"))
+    spread = Stage(spread, "spread").read()
+    several = spread.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    return spread.join(several, "band", "left_semi").join(bounds.select(F.col("node").alias("u"), "size", "own"), "u", "left")
+
+
+def _to_leaders(mixed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes with known bounds and up to LEADERS such nodes of their bucket that could be linked to them."""
+    known = mixed.filter("size IS NOT NULL")
+    least = [F.min(F.struct(F.xxhash64("u", "band", F.lit(i)).alias("h"), F.col("u").alias("v"), *(F.col(c).alias(f"v_{c}") for c in ("root", "size", "own")))) for i in range(LEADERS)]
+    leaders = known.groupBy("band").agg(F.array(*least).alias("leaders")).select("band", F.explode(F.array_distinct("leaders")).alias("leader")).select("band", "leader.*")
+    met = known.join(leaders, "band").filter((F.col("root") != F.col("v_root")) & _could_link())
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs (u, v) of nodes of a bucket, of different components, that could be linked without sharing a shingle of their indexes."""
+    other = mixed.select("band", F.col("u").alias("v"), *(F.col(c).alias(f"v_{c}") for c in ("root", "size", "own")))
+    return mixed.join(other, "band").filter((F.col("root") != F.col("v_root")) & (F.col("u") > F.col("v")) & _could_link()).select("u", "v").distinct()
 
 
 def _could_link() -> Column:
@@ -176,17 +225,21 @@ def _rooted(docs: DataFrame) -> DataFrame:
     buckets = Stage(shared, "buckets").read()
     first = buckets.select(F.array_min("nodes").alias("v"), F.explode("nodes").alias("u")).filter(F.col("u") != F.col("v")).distinct()
     links, held = _near(first, able, docs)
-    links = Stage(links, "near").read()
-    roots = components(links).withColumnRenamed("node", "u")
-    spread = buckets.select("band", F.explode("nodes").alias("u")).join(roots, "u", "left").select("band", "u", F.coalesce("root", "u").alias("root"))
-    spread = Stage(spread, "spread").read()
-    mixed = spread.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    spread = Stage(spread.join(mixed, "band", "left_semi"), "mixed").read()
-    spread = Stage(spread.join(_own_shingles(held).withColumnRenamed("node", "u"), "u", "left"), "bounds").read()
-    other = spread.select("band", F.col("u").alias("v"), *(F.col(c).alias(f"v_{c}") for c in ("root", "size", "own")))
-    across = spread.join(other, "band").filter((F.col("root") != F.col("v_root")) & (F.col("u") > F.col("v")) & _could_link()).select("u", "v").distinct()
-    across = across.join(first, ["u", "v"], "left_anti")
-    roots = components(links.union(_near(across, able, docs)[0]))
+    links, tried = Stage(links, "near").read(), first
+    bounds = Stage(_rarity(held), "bounds").read()
+
+    def rooted() -> DataFrame:
+        return components(links).withColumnRenamed("node", "u")
+
+    def more(pairs: DataFrame) -> None:
+        nonlocal links, tried
+        pairs = Stage(pairs.join(tried, ["u", "v"], "left_anti"), "pairs").read()
+        links, tried = links.union(Stage(_near(pairs, able, docs)[0], "near").read()), tried.union(pairs)
+
+    more(_sharing(bounds, rooted()))
+    more(_to_leaders(_mixed(buckets, rooted(), bounds)))
+    more(_across(Stage(_mixed(buckets, rooted(), bounds), "mixed").read()))
+    roots = components(links)
     return nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
 
 
