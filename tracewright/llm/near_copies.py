@@ -1,16 +1,21 @@
-"""The pipeline's near-duplicate stage: SimHash bands of 5-word shingles, pairs verified by exact Jaccard.
+"""The pipeline's near-duplicate stage: ball hashing of SimHashes of 5-word shingles, pairs verified by exact Jaccard.
 
 Operator 4's query is bound to 3-word shingles and 2 bits, within which hardly any
 near copy falls. Here every text has a SimHash of 512 bits over its distinct
-shingles, and texts that agree in all bits of one of many bands are candidates. At
+shingles, cut into words, and the words meet in the middle as the fingerprints of
+operator 4 do: two words differ in at most 2 bits exactly when some third word
+differs from each in at most 1, and texts of which a word does so are candidates. At
 a Jaccard similarity of 0.8 a bit differs with chance acos(8/9)/pi = 0.15, so the
-number of bands is set from their width for the wanted recall, and the width grows
+number of words is set from their width for the wanted recall, and the width grows
 with the logarithm of the number of texts, so that chance meetings stay in
-proportion to it. Candidates far apart in all bits are dropped, the others are
-compared by their whole shingle sets.
-
-Texts with the same words are one node from the start. Each node of a bucket is
-first compared with its least node. What then stands in several components is
+proportion to it. The ball around a word is spelled out only in the task that holds
+it: words are dealt by their upper bits, and go on to one sector for each such bit.
+Candidates far apart in all bits are dropped, the others are compared by their whole
+shingle sets.
+
+Texts with the same words are one node from the start. A bucket is the nodes that
+meet in one ball. Each node is first compared with the least node of the balls
+around its own words. What then stands in several components is
 compared in three steps, each across the components that the one before has left:
 
 1. nodes that share a shingle which at most RARE nodes have, among the rarest that
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, Stage, whole_text
+from .common import DOC_COLUMNS, Stage, shuffle_width, whole_text
 from .components import components
 
 WORDS = 5
@@ -50,10 +55,14 @@ LEAST_PERCENT = 80
 SKETCH_BITS = 512
 #: Candidates further apart are not compared: at 0.8 about 78 bits differ (96 in texts of 5 shingles), by chance 256.
 MOST_BITS = 160
-#: Bits of a band beyond the logarithm of the number of texts, and the least width.
-SPARE_BITS, LEAST_BITS = 2, 14
-#: Bands that a pair at exactly the least similarity agrees in, on average.
+#: Words within twice as many bits meet in a ball of this radius.
+BALL = 1
+#: Bits of a word beyond the logarithm of the number of texts, and the least width.
+SPARE_BITS, LEAST_BITS = 8, 16
+#: Words in which a pair at exactly the least similarity meets, on average.
 MEETINGS = 5
+#: A sector holds about 2 to this power words, and the least number of upper bits that tell sectors apart.
+SECTOR_BITS, LEAST_TOP = 14, 2
 #: Nodes that have a rare shingle, at most; nodes of a bucket that all others are compared with before every pair is.
 RARE, LEADERS = 64, 8
 
@@ -85,13 +94,13 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
-def plan_bands(n: int) -> np.ndarray:
-    """Bit positions of the bands for ``n`` texts, a row per band."""
+def plan_words(n: int) -> np.ndarray:
+    """Bit positions of the words of sketches for ``n`` texts, a row per word."""
     width = max(LEAST_BITS, n.bit_length() + SPARE_BITS)
     share = LEAST_PERCENT / 100
     differ = math.acos(2 * share / (1 + share)) / math.pi
-    count = math.ceil(MEETINGS / (1 - differ) ** width)
-    rng, each = np.random.default_rng(7), SKETCH_BITS // width
+    meets = sum(math.comb(width, i) * differ**i * (1 - differ) ** (width - i) for i in range(2 * BALL + 1))
+    rng, each, count = np.random.default_rng(7), SKETCH_BITS // width, math.ceil(MEETINGS / meets)
     dealt = [rng.permutation(SKETCH_BITS)[: each * width].reshape(each, width) for _ in range(-(-count // each))]
     return np.concatenate(dealt)[:count]
 
@@ -112,10 +121,13 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return read.mapInArrow(run, "doc_id long, text_key long, node long, sketch binary")
 
 
-def _bands(nodes: DataFrame, bands: np.ndarray) -> DataFrame:
-    """(band, node): a row for each band of each node."""
-    weights = np.int64(1) << np.arange(bands.shape[1], dtype=np.int64)
-    numbers = np.arange(len(bands), dtype=np.int64) << 40
+def _dealt(nodes: DataFrame, words: np.ndarray, top: int) -> DataFrame:
+    """(at, node): every word of each node's sketch, dealt to the sectors that hold the ball around it. A sector is a
+    word's number and ``top`` upper bits: one holds the word and those that differ in a lower bit, ``top`` hold one each."""
+    count, width = words.shape
+    weights = np.int64(1) << np.arange(width, dtype=np.int64)
+    flips = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(top, dtype=np.int64)])
+    numbers = np.arange(count, dtype=np.int64) << top
 
     def run(batches):
         for batch in batches:
@@ -123,12 +135,73 @@ def _bands(nodes: DataFrame, bands: np.ndarray) -> DataFrame:
                 part = batch.slice(at, 256)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
-                keys = np.zeros((len(bits), len(bands)), np.int64)
-                for column, weight in zip(bands.T, weights):
-                    keys += bits[:, column] * weight
-                yield pa.RecordBatch.from_arrays([pa.array((keys + numbers).ravel()), pa.array(np.repeat(part.column(0).to_numpy(), len(bands)))], names=["band", "node"])
+                values = np.zeros((len(bits), count), np.int64)
+                for column, weight in zip(words.T, weights):
+                    values += bits[:, column] * weight
+                sectors = numbers[:, None] | ((values >> (width - top))[:, :, None] ^ flips)
+                to = (sectors << 40) | values[:, :, None]
+                yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), to[0].size))], names=["at", "node"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "at long, node long")
+
+
+def _met(values: np.ndarray, nodes: np.ndarray, sector: int, width: int, top: int) -> pa.RecordBatch:
+    """(band, nodes, own) of one sector: the nodes within BALL bits of each word, if they are two or more, and those it is
+    the word of (both, if it is the word of one of two). Two words alone meet on two words, of which the lesser is taken; equal ones are taken on themselves."""
+    low = width - top
+    above = np.int64(sector & ((1 << top) - 1)) << low
+    mask = np.int64((1 << low) - 1)
+    own = np.flatnonzero(values & ~mask == above)
+    flips = np.int64(1) << np.arange(low, dtype=np.int64)
+    center = np.concatenate([above | (values & mask), (values[own, None] ^ flips).ravel()])
+    who = np.concatenate([np.arange(len(values)), np.repeat(own, low)])
+    order = np.lexsort((values[who], center))
+    center, who = center[order], who[order]
+    start = np.flatnonzero(np.r_[True, center[1:] != center[:-1]])
+    sizes = np.diff(np.r_[start, len(center)])
+    several = sizes > 1
+    start, sizes = start[several], sizes[several]
+    value = values[who]
+    change = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])
+    first, last = value[start], value[start + sizes - 1]
+    kinds = change[start + sizes - 1] - change[start] + 1
+    at = center[start]
+    taken = np.where(kinds == 1, at == first, (kinds > 2) | (at < at ^ first ^ last))
+    at, start, sizes, pair = at[taken], start[taken], sizes[taken], (kinds == 2)[taken]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    members = np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])
+    hit = value[members] == center[members]
+    hub = np.logical_or.reduceat(hit, offsets[:-1]) if len(hit) else hit
+    hit |= np.repeat(pair & hub, sizes)
+    hits = np.concatenate([[0], np.cumsum(hit)])[offsets]
+    who = nodes[who[members]]
+    lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(w)) for o, w in ((offsets, who), (hits, who[hit]))]
+    return pa.RecordBatch.from_arrays([pa.array((np.int64(sector >> top) << 40) | at), *lists], names=["band", "nodes", "own"])
+
+
+def _buckets(nodes: DataFrame, n: int) -> DataFrame:
+    """(band, nodes, own) of the balls that several of ``n`` nodes meet in; own: those around whose word it is."""
+    words = plan_words(n)
+    width, top = words.shape[1], max(LEAST_TOP, n.bit_length() - SECTOR_BITS)
 
-    return nodes.select("node", "sketch").mapInArrow(run, "band long, node long")
+    def run(batches):
+        held, sector = [], None
+        for batch in batches:
+            at, node = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero(np.diff(at >> 40)) + 1
+            for part, who in zip(np.split(at, cuts), np.split(node, cuts)):
+                if not len(part):
+                    continue
+                if held and sector != part[0] >> 40:
+                    yield _met(*map(np.concatenate, zip(*held)), int(sector), width, top)
+                    held = []
+                sector = part[0] >> 40
+                held.append((part & np.int64((1 << 40) - 1), who))
+        if held:
+            yield _met(*map(np.concatenate, zip(*held)), int(sector), width, top)
+
+    dealt = _dealt(nodes, words, top).repartition(shuffle_width(nodes.sparkSession), F.shiftright("at", 40)).sortWithinPartitions("at")
+    return dealt.mapInArrow(run, "band long, nodes array<long>, own array<long>")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,10 +293,8 @@ def _rooted(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct("doc_id", "text_key")).alias("first")
     nodes = Stage(made.groupBy("node").agg(least, F.min("sketch").alias("sketch")), "nodes").read()
     able = nodes.filter("sketch IS NOT NULL")
-    bands = _bands(able, plan_bands(able.count()))
-    shared = bands.groupBy("band").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1)
-    buckets = Stage(shared, "buckets").read()
-    first = buckets.select(F.array_min("nodes").alias("v"), F.explode("nodes").alias("u")).filter(F.col("u") != F.col("v")).distinct()
+    buckets = Stage(_buckets(able, able.count()), "buckets").read()
+    first = buckets.select(F.array_min("nodes").alias("v"), F.explode("own").alias("u")).filter(F.col("u") != F.col("v")).distinct()
     links, held = _near(first, able, docs)
     links, tried = Stage(links, "near").read(), first
     bounds = Stage(_rarity(held), "bounds").read()
