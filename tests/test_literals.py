@@ -76,3 +76,30 @@ def test_lines_end_at_separators_beyond_latin(spark):
     df = spark.createDataFrame([(1, "a\u2028b\nc"), (2, "a\u2029b"), (3, "a\x1cb\x1dc\x1ed\x85e\x0cf\rg")], "k int, text string")
     got = {k: [r.line for r in lines_of(df, "k").filter(f"k = {k}").orderBy("line_num").collect()] for k in (1, 2, 3)}
     assert got == {1: ["a", "b", "c"], 2: ["a", "b"], 3: list("abcdefg")}
+
+
+def window_files(spark):
+    parts = [
+        "x = requests.get(u)", "if ALLOWLIST: pass", "os.system(c)", "shlex.quote(c)", "Thread (f)", "GO  func", "with LOCK:", "os.path.exists(p)", "f = open (p)", "except", "raise", "a && b", "a and b or c", "MC/DC 1",
+        "def f (x)", "REQ-1", "HLR-x", "return 1", "break", "rows.FIND (q)", "req.body", "schema", "ldap_x.search(input)", "escape_filter", "a.xpath (input)", "variables", "logger.warn (1)", "request.x", "strip", "ParseExpression(request)",
+        "autoindex on", "(a+)+", "axios", "circuit", "urlopen", "timeout", "cached", "singleton", "pool", "login", "audit", "ssn", "hash", "catch", "customer", "ttl", "server", "alert", "# comment", "", "x" * 600 + "(a+)+",
+    ]
+    rows = [(f"f{k}", "\n".join(parts[(i * k + i * i) % len(parts)] for i in range(3 * k))) for k in range(1, 24)] + [(f"one{i}", p) for i, p in enumerate(parts)]
+    return spark.createDataFrame(rows, "path string, content string")
+
+
+def test_windows_find_what_their_shapes_find(spark):
+    files = window_files(spark)
+    lines, key = shapes.code_lines(lines_of(files, "path", text="content")).cache(), ["path"]
+    single = {k: shapes.window_suppressed(lines, key, *r) for k, r in detectors.SUPPRESSED_RULES.items()}
+    single |= {k: shapes.directional(lines, key, *r) for k, r in detectors.DIRECTIONAL_RULES.items()}
+    single |= {k: shapes.signature(lines, key, *r) for k, r in detectors.SIGNATURES.items()}
+    single |= {k: shapes.presence_absence(lines, key, *r[:2]) for k, r in detectors.PRESENCE_RULES.items()}
+    expected = {(r.path, r.line_num, k) for k, df in single.items() for r in df.select("path", "line_num").collect()}
+    found = [tuple(r) for r in detectors.detect_windows(files).select("path", "line_num", "check_id").collect()]
+    assert sorted(found) == sorted(expected) and len({f[2] for f in found}) >= 20
+
+
+def test_windows_try_patterns_only_where_their_literals_are(spark):
+    plan = detectors.detect_windows(window_files(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(line") == 1 and "Contains(lowered_" in plan
